@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.llm import plans_threads
+from loomspan.llm import plans_lines, plans_threads
 
-_MODULES = (plans_threads,)
+_MODULES = (plans_lines, plans_threads)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
