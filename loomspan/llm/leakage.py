@@ -11,6 +11,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words of a passage that counts.
 SPAN = 12
@@ -68,8 +69,12 @@ def winnow(hashes: np.ndarray, lengths: np.ndarray, gram: int = GRAM, span: int
     return at, grams[at]
 
 
-def _fingerprint(only, gram: int, span: int):
-    """Rows id, words (8 bytes each), hits (fingerprint, position) of texts that have hits; ``only``: broadcast sorted fingerprints, or null."""
+def _fingerprint(only, gram: int, span: int, outside: int):
+    """A row for each fingerprint: id, fp, pos, and the hashes of the gram's words and of span - gram words on either side.
+
+    ``only``: broadcast sorted fingerprints to keep, or null; ``outside``: stands for words beyond the text's ends.
+    """
+    around = np.arange(gram - span, span)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
@@ -79,44 +84,38 @@ def _fingerprint(only, gram: int, span: int):
             lengths = np.array([len(h) for h in hashed], np.int64)
             if not lengths.sum():
                 continue
-            at, value = winnow(np.concatenate(hashed), lengths, gram, span)
+            every = np.concatenate(hashed)
+            at, value = winnow(every, lengths, gram, span)
             if keep is not None:
                 found = np.isin(value, keep)
                 at, value = at[found], value[found]
             start = np.cumsum(lengths) - lengths
-            owner = np.searchsorted(start, at, side="right") - 1
-            rows = {"id": [], "words": [], "hits": []}
-            for k in np.unique(owner):
-                mine = owner == k
-                rows["id"].append(pdf["id"].iloc[k])
-                rows["words"].append(hashed[k].tobytes())
-                rows["hits"].append([{"fp": int(f), "pos": int(p)} for f, p in zip(value[mine].view(np.int64), at[mine] - start[k])])
-            if rows["id"]:
-                yield pd.DataFrame(rows)
+            for some in range(0, len(at), 20_000):
+                here, fp = at[some : some + 20_000], value[some : some + 20_000]
+                owner = np.searchsorted(start, here, side="right") - 1
+                places = here[:, None] + around
+                inside = (places >= start[owner][:, None]) & (places < (start + lengths)[owner][:, None])
+                context = np.where(inside, every[np.clip(places, 0, len(every) - 1)], np.uint64(outside))
+                yield pd.DataFrame(
+                    {"id": pdf["id"].to_numpy()[owner], "fp": fp.view(np.int64), "pos": (here - start[owner]).astype(np.int32), "context": [c.tobytes() for c in context]}
+                )
 
     return run
 
 
-def _extend(span: int):
-    """The longest equal run around each hit; kept if it has ``span`` words."""
+def _extension(gram: int, span: int):
+    """Equal words left of, in and right of a gram, from both contexts."""
 
-    def reach(a: np.ndarray, b: np.ndarray) -> int:
-        n = min(len(a), len(b))
-        other = np.flatnonzero(a[:n] != b[:n])
-        return int(other[0]) if len(other) else n
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, item, pos, i_pos, w, i_w in zip(*(pdf[c] for c in ("doc_id", "item_id", "pos", "i_pos", "words", "i_words"))):
-                a, b = np.frombuffer(w, np.uint64), np.frombuffer(i_w, np.uint64)
-                left, right = reach(a[:pos][::-1], b[:i_pos][::-1]), reach(a[pos:], b[i_pos:])
-                if left + right >= span:
-                    rows.append((doc, item, pos - left, i_pos - left, left + right))
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_word", "item_word", "n_words"]).drop_duplicates()
+    @F.pandas_udf("left int, right int")
+    def extend(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        shape = (-1, gram + 2 * (span - gram))
+        equal = np.frombuffer(b"".join(a), np.uint64).reshape(shape) == np.frombuffer(b"".join(b), np.uint64).reshape(shape)
+        edge = span - gram
+        left = np.cumprod(equal[:, :edge][:, ::-1], axis=1).sum(axis=1)
+        right = np.cumprod(equal[:, edge:], axis=1).sum(axis=1)
+        return pd.DataFrame({"left": left.astype(np.int32), "right": right.astype(np.int32)})
 
-    return run
+    return extend
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, *, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -128,25 +127,36 @@ def leaked_spans(documents: DataFrame, items: DataFrame, *, span: int = SPAN, gr
 
     Winnowing keeps the least gram hash of each window of span - gram + 1
     grams, on both sides, so a shared run of ``span`` words shares a
-    fingerprint; hits are extended word by word, so nothing shorter is reported.
+    fingerprint, and so does each window within it. A hit carries the words
+    around its gram and is extended over them; extended hits of ``span`` words
+    that overlap on one diagonal make up the run.
     Null ids or texts, empty texts and texts of fewer words give nothing;
     repeated documents are each reported; other columns are ignored.
 
-    The corpus is read once and only documents with a hit leave the scan's
-    stage. For that the evaluation side's fingerprints are broadcast, if they
-    are at most BROADCAST_FINGERPRINTS; if not, all fingerprints are joined.
+    The corpus is read once and only hits leave the scan's stage. For that the
+    evaluation side's fingerprints are broadcast, if they are at most
+    BROADCAST_FINGERPRINTS; if not, all fingerprints are joined.
     """
     spark = documents.sparkSession
-    schema = "id long, words binary, hits array<struct<fp:long,pos:int>>"
-    texts = lambda df, key: df.filter(F.col(key).isNotNull() & (F.length("text") > 0)).select(F.col(key).cast("long").alias("id"), "text")
-    test = texts(items, "item_id").mapInPandas(_fingerprint(None, gram, span), schema)
-    test = test.select(F.col("id").alias("item_id"), F.col("words").alias("i_words"), F.explode("hits").alias("h")).select("item_id", "i_words", F.col("h.fp").alias("fp"), F.col("h.pos").alias("i_pos"))
+    schema = "id long, fp long, pos int, context binary"
+
+    def prints(df: DataFrame, key: str, only, outside: int) -> DataFrame:
+        texts = df.filter(F.col(key).isNotNull() & (F.length("text") > 0)).select(F.col(key).cast("long").alias("id"), "text")
+        return texts.mapInPandas(_fingerprint(only, gram, span, outside), schema)
+
+    test = prints(items, "item_id", None, 1).select(F.col("id").alias("item_id"), "fp", F.col("pos").alias("i_pos"), F.col("context").alias("i_context"))
     some = test.select("fp").distinct().limit(BROADCAST_FINGERPRINTS + 1).toPandas()["fp"].to_numpy(np.int64)
     only = None
     if len(some) <= BROADCAST_FINGERPRINTS:
         only = spark.sparkContext.broadcast(np.sort(some.view(np.uint64)).tobytes())
-    hits = texts(documents, "doc_id").mapInPandas(_fingerprint(only, gram, span), schema)
-    hits = hits.select(F.col("id").alias("doc_id"), "words", F.explode("hits").alias("h")).select("doc_id", "words", F.col("h.fp").alias("fp"), F.col("h.pos").alias("pos"))
-    both = hits.join(test, "fp").select("doc_id", "item_id", "pos", "i_pos", "words", "i_words")
-    runs = both.mapInPandas(_extend(span), "doc_id long, item_id long, doc_word int, item_word int, n_words int")
-    return runs.distinct()
+    hits = prints(documents, "doc_id", only, 2).withColumnRenamed("id", "doc_id").join(test, "fp")
+    hits = hits.withColumn("e", _extension(gram, span)("context", "i_context")).filter(F.col("e.left") + F.col("e.right") >= span)
+    ends = hits.select(
+        "doc_id", "item_id", (F.col("pos") - F.col("i_pos")).alias("shift"), (F.col("pos") - F.col("e.left")).alias("begin"), (F.col("pos") + F.col("e.right")).alias("end")
+    )
+    line = Window.partitionBy("doc_id", "item_id", "shift").orderBy("begin", "end")
+    reached = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("begin") < F.col("reached"), 0).otherwise(1)).over(line)
+    runs = ends.withColumn("reached", reached).withColumn("island", island).groupBy("doc_id", "item_id", "shift", "island")
+    found = runs.agg(F.min("begin").alias("doc_word"), F.max("end").alias("end"))
+    return found.select("doc_id", "item_id", "doc_word", (F.col("doc_word") - F.col("shift")).alias("item_word"), (F.col("end") - F.col("doc_word")).alias("n_words"))
