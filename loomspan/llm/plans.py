@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.llm import plans_leakage, plans_lines, plans_threads
+from loomspan.llm import plans_leakage, plans_lines, plans_sentences, plans_threads
 
-_MODULES = (plans_lines, plans_threads, plans_leakage)
+_MODULES = (plans_lines, plans_threads, plans_leakage, plans_sentences)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
