@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import history, texts
+from loomspan.plans import comments, history, texts
 
-_MODULES = (history, texts)
+_MODULES = (history, texts, comments)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
