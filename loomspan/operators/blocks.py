@@ -1,0 +1,132 @@
+"""Descriptions split into blocks, and blocks that a channel repeats."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from loomspan.functions import text as X
+
+#: Videos of a channel from which on a block is boilerplate.
+REPEATED = 3
+SHORT_LINE = 120
+HEADER = 60
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, r"\r\n?|[\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]", "\n"), "\n", -1)
+
+
+def _opened(lines: Column) -> Column:
+    """The two leading lines set apart if both are short: they are what viewers see first."""
+    first, second = F.get(lines, 0), F.get(lines, 1)
+    short = lambda line: (X.strip(line) != "") & (X.display_length(X.strip(line)) < SHORT_LINE)
+    apart = F.concat(F.array(first, F.lit(""), second, F.lit("")), F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))))
+    return F.when((F.size(lines) >= 2) & F.coalesce(short(first) & short(second), F.lit(False)), apart).otherwise(lines)
+
+
+def _sections(lines: Column) -> Column:
+    """Runs of lines, each with the separator line above it (null for the first)."""
+    kind = "array<struct<sep:string,body:array<string>>>"
+    empty = F.array(F.struct(F.lit(None).cast("string").alias("sep"), F.array().cast("array<string>").alias("body"))).cast(kind)
+
+    def step(done: Column, line: Column) -> Column:
+        last = F.element_at(done, -1)
+        begun = F.concat(done, F.array(F.struct(line.alias("sep"), F.array().cast("array<string>").alias("body"))))
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["sep"].alias("sep"), F.concat(last["body"], F.array(line)).alias("body"))))
+        return F.when((X.strip(line) != "") & X.is_separator(line), begun).otherwise(grown)
+
+    return F.aggregate(lines, empty, step)
+
+
+def split_blocks(text: Column) -> Column:
+    """The blocks of a description, in order.
+
+    Separator lines stand apart, unless they underline a header: one line of at
+    most 60 characters above, and more than one or a long line below. Lines of
+    hashtags stand apart. The rest is divided at blank lines.
+    """
+    sections = _sections(_opened(_lines(text)))
+    full = lambda s: F.filter(F.transform(s["body"], X.strip), lambda line: line != "")
+    apart = lambda line: F.array(F.lit(""), line, F.lit(""))
+
+    def laid_out(s: Column, i: Column) -> Column:
+        above, below = full(F.get(sections, i - 1)), full(s)
+        underline = (F.size(above) == 1) & (F.length(F.get(above, 0)) <= HEADER) & ((F.size(below) > 1) | F.exists(below, lambda line: F.length(line) > HEADER))
+        head = F.when(s["sep"].isNull(), F.array().cast("array<string>")).when(~F.coalesce(underline, F.lit(False)) | X.is_hashtags(s["sep"]), apart(s["sep"])).otherwise(F.array(s["sep"]))
+        return F.concat(head, F.flatten(F.transform(s["body"], lambda line: F.when(X.is_hashtags(line), apart(line)).otherwise(F.array(line)))))
+
+    whole = F.array_join(F.flatten(F.transform(sections, laid_out)), "\n")
+    return F.filter(F.transform(F.split(whole, "\n\n+", -1), X.strip), lambda b: b != "")
+
+
+def blocks(videos: DataFrame) -> DataFrame:
+    """video_id, channel_id, pos, block, checksum of every block of every description. One row a video is expected."""
+    rows = videos.filter(F.col("description").isNotNull()).select("video_id", "channel_id", F.posexplode(split_blocks(F.col("description"))).alias("pos", "block"))
+    return rows.withColumn("checksum", F.sha2("block", 256))
+
+
+def index(rows: DataFrame) -> DataFrame:
+    """Each checksum once a video."""
+    return rows.filter(F.col("channel_id").isNotNull()).select("channel_id", "checksum", "video_id").distinct()
+
+
+def frequencies(rows: DataFrame) -> DataFrame:
+    """How many videos of a channel hold a block."""
+    return index(rows).groupBy("channel_id", "checksum").agg(F.count(F.lit(1)).alias("videos"))
+
+
+def _with_frequency(rows: DataFrame) -> DataFrame:
+    return rows.join(frequencies(rows), ["channel_id", "checksum"], "left").withColumn("repeated", F.coalesce(F.col("videos") >= REPEATED, F.lit(False)))
+
+
+def _reassembled(kept: DataFrame) -> DataFrame:
+    """The kept blocks of a video in order; no group is larger than a description."""
+    return kept.groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "block"))), lambda b: b["block"]).alias("kept"))
+
+
+def strip_boilerplate(videos: DataFrame) -> DataFrame:
+    """Descriptions without blocks of links or hashtags that a channel repeats.
+
+    Prose stays, and so do blocks with times. Of adjacent separators the first
+    stays, and none at either end. Videos without channel keep all; null stays null.
+    """
+    rows = _with_frequency(blocks(videos))
+    b = F.col("block")
+    keep = ~X.has_link(b) & ~X.is_hashtags(b) | X.has_line_time(b) | ~F.col("repeated")
+    merged = _reassembled(rows.filter(keep))
+    once = F.filter("kept", lambda x, i: ~X.is_separator(x) | ~F.coalesce(X.is_separator(F.get(F.col("kept"), i - 1)), F.lit(False)))
+    edges = F.filter(F.col("once"), lambda x, i: ~X.is_separator(x) | (i > 0) & (i < F.size("once") - 1))
+    clean = merged.withColumn("once", once).select("video_id", F.array_join(edges, "\n\n").alias("stripped"))
+    return videos.select("video_id", "description").join(clean, "video_id", "left").select("video_id", F.when(F.col("description").isNotNull(), F.coalesce("stripped", F.lit(""))).alias("description"))
+
+
+def unique_length(videos: DataFrame) -> DataFrame:
+    """The length of what a description alone says: without separators and without any repeated block."""
+    rows = _with_frequency(blocks(videos)).filter(~F.col("repeated") & ~X.is_separator(F.col("block")))
+    text = F.regexp_replace(F.array_join("kept", "\n"), r"\n+", "\n")
+    sizes = _reassembled(rows).select("video_id", F.length(text).cast("bigint").alias("n"))
+    return videos.select("video_id", "channel_id").join(sizes, "video_id", "left").select("video_id", "channel_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("unique_length"))
+
+
+def channel_stats(videos: DataFrame) -> DataFrame:
+    """By channel: videos, rows of the index, checksums, and rows whose checksum is repeated."""
+    per = frequencies(blocks(videos))
+    sums = per.groupBy("channel_id").agg(F.sum("videos").alias("rows"), F.count(F.lit(1)).alias("checksums"), F.sum(F.when(F.col("videos") >= REPEATED, F.col("videos")).otherwise(0)).alias("repeated_rows"))
+    counts = index(blocks(videos)).groupBy("channel_id").agg(F.countDistinct("video_id").alias("videos"))
+    return counts.join(sums, "channel_id")
+
+
+def grand_totals(videos: DataFrame) -> DataFrame:
+    """The mean unique length over all videos (channels weighed by their videos) and the share of repeated rows."""
+    lengths = unique_length(videos).filter(F.col("channel_id").isNotNull()).groupBy("channel_id").agg(F.avg("unique_length").alias("mean"), F.count(F.lit(1)).alias("n"))
+    share = channel_stats(videos).agg(F.sum("rows").alias("rows"), F.sum("repeated_rows").alias("repeated_rows"))
+    means = lengths.agg(F.sum(F.col("mean") * F.col("n")).alias("w"), F.sum("n").alias("videos"))
+    both = means.unionByName(share, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in ("w", "videos", "rows", "repeated_rows")))  # two rows
+    return both.select("videos", F.round(F.col("w") / F.col("videos"), 4).alias("mean_unique_length"), F.round(100 * F.col("repeated_rows") / F.col("rows"), 4).alias("boilerplate_percent"))
+
+
+def clean_tags(tags: Column, title: Column) -> Column:
+    """Tags that neither hold the channel's title nor are held by it, whatever the case."""
+    name = F.lower(F.coalesce(title, F.lit("")))
+    return F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: ~F.contains(name, F.lower(t)) & ~F.contains(F.lower(t), name))
