@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import archives, comments, descriptions, history, texts
+from loomspan.plans import archives, comments, descriptions, history, requests, texts, transcripts
 
-_MODULES = (history, texts, comments, descriptions, archives)
+_MODULES = (history, texts, comments, descriptions, archives, requests, transcripts)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
