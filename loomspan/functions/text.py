@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import pairwise
 
 from pyspark.sql import Column
@@ -33,6 +34,11 @@ TECHNICAL_MOST = 2.5
 TECHNICAL_LENGTH = 200
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 

@@ -46,7 +46,10 @@ def split_blocks(text: Column) -> Column:
     most 60 characters above, and more than one or a long line below. Lines of
     hashtags stand apart. The rest is divided at blank lines.
     """
-    sections = _sections(_opened(_lines(text)))
+    return X.let(_sections(X.let(_lines(text), _opened)), _joined)
+
+
+def _joined(sections: Column) -> Column:
     full = lambda s: F.filter(F.transform(s["body"], X.strip), lambda line: line != "")
     apart = lambda line: F.array(F.lit(""), line, F.lit(""))
 

@@ -49,7 +49,7 @@ def timestamp_chapter_asof(spark: SparkSession, folder: str) -> DataFrame:
 
 def _found(spark: SparkSession, folder: str) -> DataFrame:
     """Headings as a model would write them: near the chapters, some seconds off, of changing level."""
-    rows = _chapters(spark, folder).withColumn("h", F.pmod(F.crc32(F.encode("title", "UTF-8")), F.lit(83)))
+    rows = _chapters(spark, folder).withColumn("h", F.pmod(F.length("title") * 31 + F.col("i") * 17, F.lit(83)))
     return rows.filter("h % 4 != 0").select("video_id", (F.col("offset") + F.col("h") - 20).cast("int").alias("offset"), (F.col("h") % 3 + 2).cast("int").alias("level"), F.upper("title").alias("title")).filter("offset >= 0")
 
 
@@ -122,6 +122,8 @@ u AS (SELECT video_id, generate_subscripts(ms, 1) - 1 AS i, unnest(ms) AS mark,
 c AS (SELECT video_id, i::INTEGER AS i, {_SEC("mark")} AS "offset", regexp_replace(t, '^[{_S}]+|[{_S}]+$', '', 'g') AS title FROM u WHERE regexp_matches(t, '[^{_S}]')),
 c1 AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY video_id, "offset" ORDER BY i) = 1),
 iv AS (SELECT video_id, "offset", (row_number() OVER w - 1)::INTEGER AS chapter_no, lead("offset") OVER w AS next_start FROM c1 WINDOW w AS (PARTITION BY video_id ORDER BY "offset"))"""
+_FOUND = """fd0 AS (SELECT *, (length(title) * 31 + i * 17) % 83 AS h FROM c),
+fd AS (SELECT video_id, ("offset" + h - 20)::INTEGER AS "offset", (h % 3 + 2)::INTEGER AS level, upper(title) AS title FROM fd0 WHERE h % 4 <> 0 AND "offset" + h - 20 >= 0)"""
 _CHUNKS = rf"""k AS (SELECT video_id, chunk_id, max(transcript_chunk) AS t FROM transcripts WHERE regexp_matches(transcript_chunk, '^\d+: ') GROUP BY ALL)"""
 ORACLE = {
     "chapter_parse": f"WITH {_ONE} SELECT * FROM c",
@@ -138,5 +140,13 @@ s AS (SELECT *, CASE WHEN NOT starts_with(line, '##') AND contains(line, ':') TH
 f AS (SELECT video_id, chunk_id, arg_min(sec, n) FILTER (sec IS NOT NULL) AS first FROM s GROUP BY ALL), nx AS (SELECT video_id, chunk_id, lead(first) OVER (PARTITION BY video_id ORDER BY chunk_id) AS nxt FROM f),
 ct AS (SELECT s.*, nxt, min(n) FILTER (sec >= nxt) OVER (PARTITION BY s.video_id, s.chunk_id) AS cut FROM s JOIN nx USING (video_id, chunk_id))
 SELECT k.video_id, k.chunk_id, CASE WHEN any_value(nxt) IS NULL THEN any_value(t) ELSE coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (cut IS NULL OR n < cut), '') END AS transcript_chunk FROM ct JOIN k USING (video_id, chunk_id) GROUP BY k.video_id, k.chunk_id""",
+    "chapter_band_candidates": f"""WITH {_ONE}, {_FOUND} SELECT c.video_id, c."offset" AS m_offset, c.title AS m_title, fd."offset" AS h_offset, fd.level FROM c JOIN fd ON c.video_id = fd.video_id AND abs(c."offset" - fd."offset") <= 30""",
+    "heading_lines": f"""WITH {_ONE}, {_FOUND} SELECT video_id, "offset", level, regexp_replace(title, '[{_S}]+$', '') AS title FROM fd""",
+    "interleave_headings": rf"""WITH {_ONE}, {_FOUND}, {_CHUNKS}, l AS (SELECT video_id, chunk_id, generate_subscripts(string_split(trim(t, chr(10) || ' '), chr(10)), 1) AS n, unnest(string_split(trim(t, chr(10) || ' '), chr(10))) AS line FROM k),
+s AS (SELECT *, CASE WHEN NOT starts_with(line, '##') AND contains(line, ':') THEN TRY_CAST(CASE WHEN regexp_matches(trim(string_split(line, ':')[1]), '^[+-]?\d{{1,9}}$') THEN trim(string_split(line, ':')[1]) END AS INTEGER) END AS sec FROM l),
+f AS (SELECT video_id, chunk_id, arg_min(sec, n) FILTER (sec IS NOT NULL) AS first FROM s GROUP BY ALL), nx AS (SELECT video_id, chunk_id, lead(first) OVER (PARTITION BY video_id ORDER BY chunk_id) AS nxt FROM f),
+ct AS (SELECT s.*, min(n) FILTER (sec >= nxt) OVER (PARTITION BY s.video_id, s.chunk_id) AS cut FROM s JOIN nx USING (video_id, chunk_id))
+SELECT video_id, sec AS second, 1 AS is_text, (chunk_id * 100000 + n - 1)::INTEGER AS pos, line FROM ct WHERE (cut IS NULL OR n < cut) AND sec IS NOT NULL
+UNION ALL SELECT video_id, "offset", 0, "offset", concat("offset", ' ', repeat('#', level), ' ', title) FROM fd""",
     "best_transcript": """SELECT DISTINCT video_id, language_code, is_generated FROM transcripts QUALIFY dense_rank() OVER (PARTITION BY video_id ORDER BY CASE WHEN starts_with(language_code, 'en') AND NOT is_generated THEN 0 WHEN starts_with(language_code, 'en') THEN 1 ELSE 2 END, language_code NULLS LAST, is_generated) = 1""",
 }
