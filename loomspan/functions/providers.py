@@ -8,6 +8,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Provider(Protocol):
@@ -63,3 +64,29 @@ def conversed(df: DataFrame, key: str, order: str, prompt: str, *, provider: str
 
     rows = df.select(key, order, prompt).repartition(key).sortWithinPartitions(key, order)
     return rows.mapInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, answer string")
+
+
+# Labels of entities that refer to people, places, works and the like.
+REFERENT = ("PERSON", "ORG", "GPE", "LOC", "WORK_OF_ART", "EVENT", "PRODUCT", "FAC", "NORP", "LAW", "LANGUAGE")
+_NAMED = re.compile(r"(?<=[^.!?\s] )(?:[A-Z][a-z]+(?: [A-Z][a-z]+)*|[A-Z]{2,5})\b")
+_KINDS = ((re.compile(r"(?:Bridge|Museum|Tower|Hall|Station|Airport)$"), "FAC"), (re.compile(r"(?:Lake|Bay|River|Mount|Island)\b"), "LOC"), (re.compile(r"^[A-Z]{2,5}$|(?:Inc|Ltd|Club|Studio|University)$"), "ORG"),
+          (re.compile(r"^(?:January|February|March|April|May|June|July|August|September|October|November|December|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)$"), "DATE"), (re.compile(r"^[A-Z][a-z]+ [A-Z][a-z]+$"), "PERSON"))
+
+
+def name_entities(text: str) -> list[tuple[str, str]]:
+    """(label, text) of names within sentences, by rule: a stand-in for a model."""
+    return [(next((label for pattern, label in _KINDS if pattern.search(m[0])), "GPE"), m[0]) for m in _NAMED.finditer(text)]
+
+
+def entities(df: DataFrame, key: str, text: str, *, find: Callable[[str], list[tuple[str, str]]] = name_entities, labels: tuple[str, ...] = REFERENT, least: int = 30) -> DataFrame:
+    """``key``, label, entity of the texts worth looking at (of some length), with the labels asked for.
+
+    Short texts are filtered before Python sees them. ``find`` may be a model's function; it is shipped to the executors.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(k, label, e) for k, t in zip(pdf[key], pdf[text]) for label, e in find(t) if label in labels], columns=[key, "label", "entity"])
+
+    some = df.filter(F.length(text) >= least).select(key, text)
+    return some.mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, label string, entity string")

@@ -70,8 +70,7 @@ def sentence_count(text: Column) -> Column:
 
 
 def type_token_ratio(text: Column) -> Column:
-    words = found(F.lower(text), r"[a-z']+")
-    return ratio(F.size(F.array_distinct(words)), F.size(words))
+    return let(found(F.lower(text), r"[a-z']+"), lambda words: ratio(F.size(F.array_distinct(words)), F.size(words)))
 
 
 def caps_ratio(text: Column) -> Column:
@@ -88,10 +87,12 @@ def punctuation_ratio(text: Column) -> Column:
 
 def mid_sentence_caps_ratio(text: Column) -> Column:
     """Capitalised words that don't begin a sentence, among all words; 0 under 30 characters. Sentences end by rule, not by model."""
-    tokens = F.transform(sentence_pieces(text), lambda s: found(s, r"\p{L}+"))
-    later = F.transform(tokens, lambda t: F.size(F.filter(t, lambda w, i: (i > 0) & w.rlike("^[A-Z][a-z]"))))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    return F.when(F.length(text) < 30, 0.0).otherwise(ratio(total(later), total(F.transform(tokens, F.size))))
+    def share(tokens: Column) -> Column:
+        later = F.transform(tokens, lambda t: F.size(F.filter(t, lambda w, i: (i > 0) & w.rlike("^[A-Z][a-z]"))))
+        total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+        return ratio(total(later), total(F.transform(tokens, F.size)))
+
+    return F.when(F.length(text) < 30, 0.0).otherwise(let(F.transform(sentence_pieces(text), lambda s: found(s, r"\p{L}+")), share))
 
 
 def structural_features(text: Column) -> Column:
@@ -145,27 +146,31 @@ def quadratic(value: Column, low: float, high: float) -> Column:
 
 def technicality(text: Column) -> Column:
     """Points of four measures of technical writing, each rounded to one decimal; all 0 for short texts."""
-    words = found(text, WORD)
-    n, sentences = F.size(words), sentence_count(text)
-    letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    raw = {
-        "word_length": letters / n,
-        "sentence_length": n / sentences,
-        "discourse_markers": count(text, r"(?i)\b(?:" + "|".join(DISCOURSE) + r")\b"),
-        "special_signs": count(text, f"[{SPECIAL_SIGNS}]") / F.length(text),
-    }
-    long_enough = (F.length(text) >= TECHNICAL_LENGTH) & (sentences >= 1) & (n > 0)
-    return F.struct(*(F.when(long_enough, F.round(quadratic(v, *TECHNICAL[k]), 1)).otherwise(0.0).alias(k) for k, v in raw.items()))
+    none = F.struct(*(F.lit(0.0).alias(k) for k in TECHNICAL))
+
+    def points(m: Column) -> Column:
+        return F.when((m["sentences"] >= 1) & (m["n"] > 0), F.struct(*(F.round(quadratic(v, *TECHNICAL[k]), 1).alias(k) for k, v in raw(m).items()))).otherwise(none)
+
+    def raw(m: Column) -> dict[str, Column]:
+        return {"word_length": m["letters"] / m["n"], "sentence_length": m["n"] / m["sentences"], "discourse_markers": m["markers"], "special_signs": m["signs"] / F.length(text)}
+
+    measures = let(
+        found(text, WORD),
+        lambda words: F.struct(
+            F.size(words).alias("n"), F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)).alias("letters"), sentence_count(text).alias("sentences"),
+            count(text, r"(?i)\b(?:" + "|".join(DISCOURSE) + r")\b").alias("markers"), count(text, f"[{SPECIAL_SIGNS}]").alias("signs"),
+        ),
+    )
+    return F.when(F.length(text) >= TECHNICAL_LENGTH, let(measures, points)).otherwise(none)
 
 
 def caps_step(ratio_: Column) -> Column:
     """From 2 % capitalised words on a point a percent, 5 at most."""
-    percent = F.floor(ratio_ * 100)
-    return F.when(percent >= 2, F.least(F.lit(5), percent - 1)).otherwise(0).cast("double")
+    return let(F.floor(ratio_ * 100), lambda percent: F.when(percent >= 2, F.least(F.lit(5), percent - 1)).otherwise(0)).cast("double")
 
 
 def sentence_bonus(n: Column) -> Column:
-    return F.when(n >= 2, F.least(F.lit(5.0), 0.5 * n)).otherwise(0.0)
+    return let(n, lambda k: F.when(k >= 2, F.least(F.lit(5.0), 0.5 * k)).otherwise(0.0))
 
 
 def is_anti(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from loomspan.functions import text as X
 from loomspan.functions.values import handle_key, to_int
 from loomspan.operators.latest import latest_row
+from loomspan.session import materialize
 
 GATE_LENGTH = 200
 QUALITY_SCORE = 5.0
@@ -38,12 +39,17 @@ def numbered(df: DataFrame, group: str, position: str, tie: str, block: int = BL
     return both.withColumn("rank", F.col("__before") + F.col("__i")).drop("__block", "__i", "__before")
 
 
-def current_comments(comments: DataFrame) -> DataFrame:
-    """The latest fetch of each comment; blank parents are none."""
-    keep = ["comment_id", "video_id", "parent_id", "author_channel_id", "text_original", "like_count", "published_at", "updated_at", "total_reply_count", "replies_complete", "ordinal", "last_seen"]
-    rows = comments.filter(F.col("comment_id").isNotNull()).select(*keep)
-    one = latest_row(rows, ["comment_id"], [F.col("last_seen").desc_nulls_last(), *(F.col(c).desc_nulls_last() for c in keep[1:-1])])
-    return one.withColumn("parent_id", F.when(~X.is_blank(F.col("parent_id")), F.col("parent_id"))).withColumn("text", F.coalesce("text_original", F.lit("")))
+def current_comments(comments: DataFrame, *, with_text: bool = True) -> DataFrame:
+    """The latest fetch of each comment; blank parents are none. Ties go by a hash of the text.
+
+    What thread facts need of a text (text_length, mention) is read before the
+    shuffle, so without the text itself only narrow rows are moved.
+    """
+    keep = ["video_id", "parent_id", "author_channel_id", "like_count", "published_at", "updated_at", "total_reply_count", "replies_complete", "ordinal"]
+    t = F.coalesce("text_original", F.lit(""))
+    rows = comments.filter(F.col("comment_id").isNotNull()).select("comment_id", "last_seen", *keep, F.length(t).alias("text_length"), X.is_mention(t).alias("mention"), F.xxhash64(t).alias("hash"), *([t.alias("text")] if with_text else []))
+    one = latest_row(rows, ["comment_id"], [F.col(c).desc_nulls_last() for c in ("last_seen", "hash", *keep)])
+    return one.withColumn("parent_id", F.when(~X.is_blank(F.col("parent_id")), F.col("parent_id"))).drop("last_seen", "hash")
 
 
 def current_channels(channels: DataFrame) -> DataFrame:
@@ -90,12 +96,12 @@ def author_points(channels: DataFrame, clock: str) -> DataFrame:
 def creator_replies(comments: DataFrame) -> DataFrame:
     """The length of the creator's longest reply to each parent, from rows with creator_id."""
     mine = comments.filter(F.col("parent_id").isNotNull() & (F.col("author_channel_id") == F.col("creator_id")))
-    return mine.groupBy("parent_id").agg(F.max(F.length("text")).cast("bigint").alias("reply_length"))
+    return mine.groupBy("parent_id").agg(F.max("text_length").cast("bigint").alias("reply_length"))
 
 
 def mentioned_parents(comments: DataFrame) -> DataFrame:
     """Parents with a reply that begins with a mention."""
-    return comments.filter(F.col("parent_id").isNotNull() & X.is_mention(F.col("text"))).select("parent_id").distinct()
+    return comments.filter(F.col("parent_id").isNotNull() & F.col("mention")).select("parent_id").distinct()
 
 
 def relevance(comments: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def thread_gaps(comments: DataFrame) -> DataFrame:
 
 def _signals(t: Column) -> dict[str, Column]:
     """Points by signal of rows that have the thread's and the author's columns."""
-    sentences, technical = X.sentence_count(t), X.technicality(t)
+    sentences, technical = X.sentence_count(t), F.col("technical")
     reply = F.coalesce("reply_length", F.lit(0))
     when = lambda c, p: F.when(F.coalesce(c, F.lit(False)), float(p)).otherwise(0.0)
     return {
@@ -147,12 +153,14 @@ def classify(comments: DataFrame, videos: DataFrame, channels: DataFrame, subscr
 
     An anti comment scores 0. Quality needs the gate (a trusted author, some
     length, a name or a citation) and the score. Everything is a built-in
-    expression; the thread's facts are aggregated before they are joined.
+    expression. The texts are shuffled once; the thread's facts come from narrow
+    rows that are kept meanwhile, and are aggregated before they are joined.
     Null texts are empty, null authors unknown, null counts none.
     """
-    now = current_comments(comments).join(owners(videos), "video_id", "left")
+    owner = owners(videos)
+    now = materialize(current_comments(comments, with_text=False).join(owner, "video_id", "left"))
     known = current_channels(channels)
-    rows = author_tier(now, subscriptions, known)
+    rows = author_tier(current_comments(comments).join(owner, "video_id", "left"), subscriptions, known)
     rows = rows.join(creator_replies(now).withColumnRenamed("parent_id", "r_id"), F.col("comment_id") == F.col("r_id"), "left")
     rows = rows.join(mentioned_parents(now).select(F.col("parent_id").alias("m_id"), F.lit(True).alias("mentioned")), F.col("comment_id") == F.col("m_id"), "left")
     rows = rows.join(relevance(now).select(F.col("comment_id").alias("v_id"), F.col("points").alias("relevance_points")), F.col("comment_id") == F.col("v_id"), "left")
@@ -161,7 +169,7 @@ def classify(comments: DataFrame, videos: DataFrame, channels: DataFrame, subscr
     trusted = F.col("author_tier").isin("creator", "subscribed")
     gate = trusted | (F.length(t) >= GATE_LENGTH) | (F.length(t) >= ENTITY_LENGTH) & (F.size(X.entities(t)) > 0) | X.has_citation(t)
     parts = [F.struct(F.lit(k).alias("signal"), p.alias("points")) for k, p in _signals(t).items()]
-    rows = rows.withColumn("anti", X.is_anti(t)).withColumn("gate", gate)
+    rows = rows.withColumn("anti", X.is_anti(t)).withColumn("gate", gate).withColumn("technical", X.technicality(t))
     rows = rows.withColumn("breakdown", F.when(F.col("anti"), F.array().cast("array<struct<signal:string,points:double>>")).otherwise(F.filter(F.array(*parts), lambda s: s["points"] != 0)))
     rows = rows.withColumn("score", F.round(F.aggregate("breakdown", F.lit(0.0), lambda a, s: a + s["points"]), 1))
     klass = F.when(F.col("anti"), "anti").when(F.col("gate") & (F.col("score") >= QUALITY_SCORE), "quality").otherwise("ignorable")
@@ -178,7 +186,7 @@ def to_expand(classified: DataFrame) -> DataFrame:
 
 def to_fetch(rows: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Authors worth fetching: of a text of some length, known by id, neither creator nor subscribed."""
-    some = rows.filter((F.length("text") >= FETCH_LENGTH) & F.col("author_channel_id").isNotNull() & ~F.col("author_channel_id").eqNullSafe(F.col("creator_id")))
+    some = rows.filter((F.col("text_length") >= FETCH_LENGTH) & F.col("author_channel_id").isNotNull() & ~F.col("author_channel_id").eqNullSafe(F.col("creator_id")))
     return some.select("author_channel_id").distinct().join(subscriptions.select(F.col("channel_id").alias("author_channel_id")).distinct(), "author_channel_id", "left_anti")
 
 

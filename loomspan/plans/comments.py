@@ -18,8 +18,8 @@ def _subscriptions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "playlists").select("channel_id").filter(F.col("channel_id").isNotNull()).distinct()
 
 
-def _now(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.current_comments(table(spark, folder, "comments")).join(Q.owners(table(spark, folder, "videos")), "video_id", "left")
+def _now(spark: SparkSession, folder: str, with_text: bool = False) -> DataFrame:
+    return Q.current_comments(table(spark, folder, "comments"), with_text=with_text).join(Q.owners(table(spark, folder, "videos")), "video_id", "left")
 
 
 def _classified(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +51,7 @@ def quality_listing(spark: SparkSession, folder: str) -> DataFrame:
 
 def caps_listing(spark: SparkSession, folder: str) -> DataFrame:
     """The hundred comments with most capitalised words within sentences."""
-    rows = _now(spark, folder).select("comment_id", F.round(X.mid_sentence_caps_ratio(F.col("text")), 6).alias("caps"))
+    rows = _now(spark, folder, True).select("comment_id", F.round(X.mid_sentence_caps_ratio(F.col("text")), 6).alias("caps"))
     return rows.orderBy(F.col("caps").desc(), "comment_id").limit(100)
 
 
@@ -98,12 +98,12 @@ def authors_to_fetch(spark: SparkSession, folder: str) -> DataFrame:
 
 def thread_rendering(spark: SparkSession, folder: str) -> DataFrame:
     """Comments as text, in the order of their threads."""
-    return Q.rendered(_now(spark, folder)).select("video_id", "thread_id", "is_reply", "comment_id", "rendered")
+    return Q.rendered(_now(spark, folder, True)).select("video_id", "thread_id", "is_reply", "comment_id", "rendered")
 
 
 def comment_grep(spark: SparkSession, folder: str) -> DataFrame:
     """Top comments and the creator's answers that match a pattern, whatever the case."""
-    rows = _now(spark, folder).filter(X.grep(F.col("text"), "spindle|handbook"))
+    rows = _now(spark, folder, True).filter(X.grep(F.col("text"), "spindle|handbook"))
     visible = F.col("parent_id").isNull() | F.col("author_channel_id").eqNullSafe(F.col("creator_id")) & F.col("creator_id").isNotNull()
     return rows.filter(visible).select("comment_id", "video_id")
 
