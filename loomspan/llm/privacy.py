@@ -35,6 +35,13 @@ _NOT_FAMILY = frozenset(
     "tells than thank thanks that the their them then there they this thought to told too tried try tries under uploaded und up us used uses very video videos vs was we well went were "
     "what when where which while who why will with would wrote y yes yet you your et le la los las el de del en es por para con que si ne ist der die das mit für".split()
 )
+# Words that begin sentences, which may follow a name without a mark between.
+_NOT_FAMILY |= frozenset(
+    "say ask mail call text phone ring good great nice best quick best around sold source order part server source timestamps first greetings subscribed honestly agreed same visible hot burn someone another only everyone "
+    "everybody imagine nobody people watch these those any some see holy dead dumb lake old bought credit hola regards pick parcel send vivo whatsapp anfragen escríbeme llámame meine pinned haha lol keep go going come "
+    "show start stop look looking sounds works work made making using used need needs want wants wish hope wait waiting maybe perhaps since until although though however whoever whenever wherever each both few many "
+    "much most other such own than too yeah sure amazing awesome love loving lovely beautiful sorry anyone anything something nothing today tomorrow yesterday tonight".split()
+)
 # Words that make the capitalised words before them a thing or place.
 _THING = frozenset(
     "bridge museum lake street st lane road rd avenue ave row close way drive square park river valley hill mountain island bay harbour harbor station school university college library "
