@@ -76,6 +76,8 @@ def _period_ends(text: str, at: int, nxt: str, after: int) -> bool:
     word = regex.sub(r"\p{Cf}+", "", left[0]) if left else ""
     if not word:
         return True
+    if glued := regex.search(r"\p{Ll}{2}\.(\p{Lu}[\p{L}\p{M}]*)$", word):
+        word = glued[1]  # the word before ended a sentence without a space
     low = word.lower()
     if low in _GOES_ON or low.rpartition(".")[2] in ("ex", "ej") and len(low) < 6:
         return False

@@ -22,6 +22,7 @@ CASES = [
     "วันนี้เราลอง |เขาว่า“หยุด!”แล้ววิ่ง |หนัก25.9กิโล",
     "Title here\n\n|Next line\nwraps here. |End\n \n|* one bullet\n|- two. |More\nwrapped\n|• three",
     "(He left. |She stayed.) |Then “unclosed. |Still here.",
+    "We left.|Prof. A. B. Ridder came.|Dr. May too.",
     "   |   leading",
 ]
 
