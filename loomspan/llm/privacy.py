@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -60,9 +61,9 @@ _NAME_AFTER = re.compile(r"^(?:[,)]|\s*(?:here|says|about it|has the|said|behind
 
 _AT = r"(?:@| @ |\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|＠)"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?| dot )"
-_LOCAL = r"[^\W_][\w.+-]*(?: dot [\w.+-]+|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?[\w.+-]+)*"
-_EMAIL = re.compile(rf"(?<![\w.+@-])(?P<local>{_LOCAL}){_AT}(?P<domain>[^\W_][\w-]*(?:{_DOT}[\w-]+)+)", re.I)
-_EMAIL_WORDS = re.compile(r"(?<![\w.+@-])[^\W_][\w.+-]*(?: dot [\w.+-]+)* at (?P<domain>[^\W_][\w-]*(?:(?:\.| dot )[\w-]+)+)(?![\w-])(?!\s?[\[({@]|\sat\s)", re.I)
+_LOCAL = r"[^\W_][\w.+-]{0,64}(?: dot [\w.+-]{1,64}|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?[\w.+-]{1,64}){0,4}"
+_EMAIL = re.compile(rf"(?<![\w.+@-])(?P<local>{_LOCAL}){_AT}(?P<domain>[^\W_][\w-]{{0,63}}(?:{_DOT}[\w-]{{1,63}}){{1,6}})", re.I)
+_EMAIL_WORDS = re.compile(r"(?<![\w.+@-])[^\W_][\w.+-]{0,64}(?: dot [\w.+-]{1,64}){0,4} at (?P<domain>[^\W_][\w-]{0,63}(?:(?:\.| dot )[\w-]{1,63}){1,6})(?![\w-])(?!\s?[\[({@]|\sat\s)", re.I)
 _EMAIL_HINT = re.compile(r"@|＠|\bdot\b|[\[({]\s?at\s?[\])}]", re.I)
 # Ends of addresses that are accepted where the at sign is written out or set apart.
 _TLD = frozenset("com net org example test invalid edu gov io info biz co me tv app dev eu us uk de fr es it nl be ch at pl ru cn jp in br mx ca au se no dk fi pt gr tr ar cl xyz online site".split())
@@ -103,7 +104,7 @@ _ADDRESSES = (
     re.compile(r"\b(?:ул\.|улица|пр\.|проспект|пер\.)\s*[^\W\d_][\w -]*?,?\s*(?:д\.\s*)?\d{1,4}[а-я]?\b", re.I),
 )
 _ADDRESS_REST = re.compile(r"(?:,\s*(?:[Ff]lat|[Aa]pt\.?|[Uu]nit|[Ss]uite|#)\s?\w+)?(?:,\s*\d{4,5}(?=\s+[A-Z]))?(?:,?\s*(?<=[,\d] )[A-Z][a-z]+(?: (?:Bay|Quay|Hollow|Tallow|Town|City))?\b)?")
-_STREET_HINT = re.compile(rf"\d.*\b(?:{_STREET}|rue|avenue|boulevard|place|allée|chemin)\b|\b(?:calle|avenida|plaza|paseo|camino|via|viale|piazza|rua|ul\.|ул|пр)|(?:straße|strasse|str\.|gasse|weg|platz|allee|damm|ufer|steig)\s+\d", re.I)
+_STREET_HINT = re.compile(rf"\d[^\n]{{0,70}}\b(?:{_STREET}|rue|avenue|boulevard|place|allée|chemin)\b|\b(?:calle|avenida|plaza|paseo|camino|via|viale|piazza|rua|ul\.|ул|пр)|(?:straße|strasse|str\.|gasse|weg|platz|allee|damm|ufer|steig)\s+\d", re.I)
 # Small words that don't stand in the name of a street whose words are in small letters.
 _NOT_STREET = frozenset("the of on in my his her a an to and by this that long half at for with is was it more times minutes hours days coins screws views percent years per each no all one other wrong right only".split())
 
@@ -309,13 +310,14 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     digit = any(c in text for c in "0123456789")
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order
 
     def take(kind: str, spans: Iterator[tuple[int, int, float]]) -> None:
         long_first = kind == "id_number"
         for a, b, _ in sorted((s for s in spans if s[2] >= ACCEPT), key=lambda s: ((s[0] - s[1], -s[2]) if long_first else (-s[2], s[0] - s[1]))):
-            if all(b <= x or a >= y for x, y, _ in taken):
-                taken.append((a, b, kind))
+            at = bisect_left(taken, (a, b, kind))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+                taken.insert(at, (a, b, kind))
 
     if _EMAIL_HINT.search(text):
         take("email", _emails(text))
@@ -328,7 +330,6 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
         take("phone", _phones(text))
     if not GIVEN_NAMES.isdisjoint(_WORD.findall(text.lower())):
         take("person_name", _names(text))
-    taken.sort()
     return taken
 
 

@@ -61,3 +61,12 @@ def test_frames(spark):
     clean = redact(df, key="id", fields=["text", "author"]).collect()
     assert clean[0].text == "😀 [PHONE]" and clean[0].author == "[NAME]" and clean[2].text is None
     assert find_personal_information(df.limit(0), key="id", fields=["text"]).collect() == []
+
+
+@pytest.mark.parametrize("part", ["1234567890 ", "1", "a@b ", "12 Some ", "12 a b ", "a dot ", "AB12 ", "x1", "five ", "Rosa Mbalari ", "Speaker 1: "])
+def test_long_texts_take_time_in_proportion(part):
+    import time
+
+    began = time.perf_counter()
+    find_spans(part * (60_000 // len(part)))
+    assert time.perf_counter() - began < 8
