@@ -78,6 +78,9 @@ SELECT p_partkey, u[1] AS section, u[2] AS body FROM (SELECT p_partkey, unnest(l
 UNION ALL SELECT p_partkey, 2, 'NOTES:', '', '' FROM part""",
     "extraction_assembly": """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'news' WHEN 1 THEN 'tutorial' ELSE 'review' END AS formats, CASE WHEN p_size % 3 <> 0 THEN p_brand END AS series, CASE WHEN p_size % 3 <> 0 THEN p_size::VARCHAR END AS episode,
   1 AS sources, CASE WHEN p_size % 2 <> 0 THEN 'http://x.test' END AS url, p_size % 4 = 0 OR p_size % 2 = 0 AS traced FROM part""",
+    "extraction_text": """SELECT p_partkey, 'FORMAT:' || chr(10) || CASE p_size % 4 WHEN 0 THEN 'news' WHEN 1 THEN 'tutorial' ELSE 'review' END || chr(10) || chr(10) || 'EPISODE:' || chr(10) || CASE WHEN p_size % 3 = 0 THEN 'none' ELSE p_brand || ': ' || p_size END
+  || chr(10) || chr(10) || 'SPEAKERS:' || chr(10) || p_name || ' | host | ' || chr(10) || chr(10) || 'ENTITIES:' || chr(10) || upper(p_name) || ' | product | ' || p_type || chr(10) || p_brand || ' | ' || CASE WHEN p_size % 5 = 0 THEN 'thing' ELSE 'place' END || ' | ' || chr(10) || 'NOTES: |  | '
+  || chr(10) || chr(10) || 'CONCEPTS:' || chr(10) || chr(10) || chr(10) || 'RELATIONSHIPS:' || chr(10) || chr(10) || chr(10) || 'SOURCES:' || chr(10) || p_type || ' | clue | ' || CASE WHEN p_size % 2 = 0 THEN 'none' ELSE 'http://x.test' END AS text FROM part""",
     "prefixed_values": """SELECT p_partkey, 'coverage' AS k, CASE p_size % 3 WHEN 0 THEN 'Full' WHEN 1 THEN 'partial' ELSE 'unsure' END AS v FROM part UNION ALL SELECT p_partkey, 'gaps', '' FROM part
 UNION ALL SELECT p_partkey, 'value', CASE WHEN p_size % 4 = 0 THEN 'insufficient' ELSE 'Insight: ' || (p_size % 5 + 1) || ', quality: 3' END FROM part
 UNION ALL SELECT p_partkey, 'verdict', CASE p_size % 4 WHEN 0 THEN 'Discard it' WHEN 1 THEN 'score' ELSE 'unclear' END FROM part""",

@@ -113,6 +113,16 @@ ORACLE = {
 SELECT channel_id, year, n, count(*) OVER (PARTITION BY channel_id) > 5 AS more FROM p QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY year DESC) <= 5""",
     "limit_then_grep": f"WITH {_V}, n AS (SELECT * FROM v ORDER BY published_at DESC NULLS LAST, video_id LIMIT 50) SELECT video_id, trim(translate(title, chr(9) || chr(10) || chr(13), '   ')) AS title FROM n WHERE regexp_matches(title, '(?i)how|fix')",
     "chapter_indices": f"WITH base AS ({CHAPTERS['timestamp_chapter_asof']}) SELECT comment_id, string_agg(chapter_no::VARCHAR, ',' ORDER BY chapter_no) AS chapters FROM (SELECT DISTINCT comment_id, chapter_no FROM base WHERE chapter_no IS NOT NULL) GROUP BY 1",
+    "prompts": rf"""WITH {_V}, d AS (SELECT video_id, title, description, coalesce(CASE WHEN regexp_matches(duration_data, '^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$') THEN
+    coalesce(TRY_CAST(regexp_extract(duration_data, '(\d+)D', 1) AS BIGINT), 0) * 86400 + coalesce(TRY_CAST(regexp_extract(duration_data, '(\d+)H', 1) AS BIGINT), 0) * 3600
+    + coalesce(TRY_CAST(regexp_extract(duration_data, '(\d+)M', 1) AS BIGINT), 0) * 60 + coalesce(TRY_CAST(regexp_extract(duration_data, '(\d+)S', 1) AS BIGINT), 0) END, 0)::BIGINT AS s FROM v)
+SELECT video_id, 'Detail: ' || CASE WHEN s <= 600 THEN 'short' WHEN s > 3600 THEN 'long' ELSE 'medium' END || chr(10) || 'Length: ' || CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END
+  || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || '---' || chr(10) || coalesce(description, '') AS prompt FROM d""",
+    "author_summary": f"""WITH ch AS (SELECT * FROM channels WHERE channel_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY last_updated DESC NULLS LAST, received_at DESC NULLS LAST) = 1),
+a AS (SELECT DISTINCT author_channel_id AS channel_id FROM (SELECT author_channel_id, comment_id FROM comments WHERE comment_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY comment_id ORDER BY last_seen DESC NULLS LAST) = 1) WHERE author_channel_id IS NOT NULL),
+b AS (SELECT channel_id, regexp_replace(coalesce(title, '?'), '^[{_S}]+|[{_S}]+$', '', 'g') AS t, coalesce(TRY_CAST(CASE WHEN regexp_matches(regexp_replace(subscriber_count, '^[{_S}]+|[{_S}]+$', '', 'g'), '^[+-]?[0-9]+$') THEN regexp_replace(subscriber_count, '^[{_S}]+|[{_S}]+$', '', 'g') END AS BIGINT)::VARCHAR, '?') AS n,
+  date_diff('microsecond', published_at, TIMESTAMP '{CLOCK}') // 1000000 // 86400 AS d FROM ch SEMI JOIN a USING (channel_id))
+SELECT channel_id, concat_ws(' | ', t, n || ' subscribers', CASE WHEN d < 30 THEN printf('%dd', d) WHEN d < 365 THEN printf('%dmo', d // 30) WHEN d % 365 // 30 > 0 THEN printf('%dy %dmo', d // 365, d % 365 // 30) WHEN d IS NOT NULL THEN printf('%dy', d // 365) END) AS summary FROM b""",
     "unavailable_cache": f"""WITH {_V} SELECT video_id, CASE WHEN privacy_status <> 'public' THEN 'private' WHEN live_status <> 'none' THEN 'live' ELSE 'disabled' END AS reason FROM v ANTI JOIN transcripts USING (video_id)""",
     "comments_state": f"""WITH {_V}, {_NOW}, h AS (SELECT video_id, count(*) AS n FROM now GROUP BY 1),
 j AS (SELECT coalesce(h.n, 0) AS n, TRY_CAST(CASE WHEN regexp_matches(regexp_replace(comment_count, '^[{_S}]+|[{_S}]+$', '', 'g'), '^[+-]?[0-9]+$') THEN regexp_replace(comment_count, '^[{_S}]+|[{_S}]+$', '', 'g') END AS BIGINT) AS told FROM v LEFT JOIN h USING (video_id))

@@ -50,7 +50,7 @@ def timestamp_chapter_asof(spark: SparkSession, folder: str) -> DataFrame:
 def _found(spark: SparkSession, folder: str) -> DataFrame:
     """Headings as a model would write them: near the chapters, some seconds off, of changing level."""
     rows = _chapters(spark, folder).withColumn("h", F.pmod(F.length("title") * 31 + F.col("i") * 17, F.lit(83)))
-    return rows.filter("h % 4 != 0").select("video_id", (F.col("offset") + F.col("h") - 20).cast("int").alias("offset"), (F.col("h") % 3 + 2).cast("int").alias("level"), F.upper("title").alias("title")).filter("offset >= 0")
+    return rows.select("video_id", (F.col("offset") + F.col("h") - 20).cast("int").alias("offset"), (F.col("h") % 3 + 2).cast("int").alias("level"), F.upper("title").alias("title")).filter("offset >= 0")
 
 
 def chapter_band_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +123,7 @@ c AS (SELECT video_id, i::INTEGER AS i, {_SEC("mark")} AS "offset", regexp_repla
 c1 AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY video_id, "offset" ORDER BY i) = 1),
 iv AS (SELECT video_id, "offset", (row_number() OVER w - 1)::INTEGER AS chapter_no, lead("offset") OVER w AS next_start FROM c1 WINDOW w AS (PARTITION BY video_id ORDER BY "offset"))"""
 _FOUND = """fd0 AS (SELECT *, (length(title) * 31 + i * 17) % 83 AS h FROM c),
-fd AS (SELECT video_id, ("offset" + h - 20)::INTEGER AS "offset", (h % 3 + 2)::INTEGER AS level, upper(title) AS title FROM fd0 WHERE h % 4 <> 0 AND "offset" + h - 20 >= 0)"""
+fd AS (SELECT video_id, ("offset" + h - 20)::INTEGER AS "offset", (h % 3 + 2)::INTEGER AS level, upper(title) AS title FROM fd0 WHERE "offset" + h - 20 >= 0)"""
 _CHUNKS = rf"""k AS (SELECT video_id, chunk_id, max(transcript_chunk) AS t FROM transcripts WHERE regexp_matches(transcript_chunk, '^\d+: ') GROUP BY ALL)"""
 ORACLE = {
     "chapter_parse": f"WITH {_ONE} SELECT * FROM c",
