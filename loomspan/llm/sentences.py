@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.session import materialize
+
 #: Longer documents (characters) are worked in pieces of this size.
 PIECE = 1 << 18
 
@@ -350,7 +352,7 @@ def sentences(documents: DataFrame, *, doc: str = "doc_id", text: str = "text",
     Null and blank texts have no sentence. Equal documents are each reported.
     Other columns are ignored.
 
-    One pass without shuffle. Documents longer than ``piece`` are cut into
+    One pass without shuffle, after one that looks for long documents. Documents longer than ``piece`` are cut into
     pieces that are spread over the cluster: each piece becomes the function
     from the state before to the state behind it, the functions are composed by
     a prefix scan, and each piece then emits its boundaries from its own state.
@@ -359,7 +361,9 @@ def sentences(documents: DataFrame, *, doc: str = "doc_id", text: str = "text",
     rows = documents.filter(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     short = rows.filter(F.length("text") <= piece).mapInPandas(_short, f"doc {kind}, start_char int")
     cut = rows.filter(F.length("text") > piece).mapInPandas(_pieces(piece), f"doc {kind}, piece int, left long, begin int, end int, last boolean, text string")
-    cut = cut.repartition("doc", "piece")
+    cut = materialize(cut.repartition("doc", "piece"))  # the pieces of long documents alone, read twice below
+    if cut.isEmpty():
+        return short.withColumnRenamed("doc", doc)
     states = cut.mapInPandas(_functions, f"doc {kind}, piece int, map array<int>").groupBy("doc").applyInPandas(_scan, f"doc {kind}, piece int, state int")
     acts = cut.join(states, ["doc", "piece"]).mapInPandas(_emit, f"doc {kind}, piece int, k int, at long, act int")
     ahead = Window.partitionBy("doc").orderBy("piece", "k").rowsBetween(1, Window.unboundedFollowing)
