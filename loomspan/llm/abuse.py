@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from re import _constants as sre
+from re import _parser as sre_parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -118,15 +120,43 @@ _REPORTED = re.compile(
 )
 _REMOVED = re.compile(r"\b(?:was|were|got|been) (?:removed|deleted|banned|reported|blocked)\b|\bnow (?:he|she|they) (?:asks?|apologi[sz]e)")
 
-_TRIGGER = frozenset(
-    {w for w in re.findall(r"\w+", " ".join((*_INSULT, *_LOWER, *_EXPLICIT, *_SWEAR)))}
-    | {w + "s" for w in _INSULT}
-    | set(
-        "stupid dumb ugly pathetic worthless disgusting talentless waste creature scraped fuck lost crawl nobody miss watch back know hope wish burn burns dragged beaten kill die traffic breathing choke drain "
-        "coming hurt break deserve breed rid keep chase spit round foreigners immigrants refugees women deaf villagers nomads believers accent people auslander inmigrantes fluchtlinge extranjeros immigres etrangers mujeres frauen мигранты беженцы "
-        "clothes strip bed bett wrapped bang let verte tocarte desnuda gueule fresse klappe schnauze callate mierda asco espece eres ты заткнись сдохни нахуй face country subhuman raus fuera suck lick horny".split()
-    )
-)
+
+def _needed(parsed: Iterable[tuple]) -> frozenset[str] | None:
+    """Strings of which every match of a parsed pattern holds at least one; null if none can be named."""
+    best, run = None, ""
+
+    def rare(found: frozenset[str] | None) -> float:
+        return 99.0 if found is None else sum(10.0 ** -len(f) for f in found)
+
+    for op, value in [*parsed, (None, None)]:
+        if op is sre.LITERAL:
+            run += chr(value)
+            continue
+        if op is sre.AT:
+            continue
+        found = [frozenset({run}) if run else None]
+        run = ""
+        if op is sre.SUBPATTERN:
+            found.append(_needed(value[3]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0]:
+            found.append(_needed(value[2]))
+        elif op is sre.BRANCH:
+            each = [_needed(b) for b in value[1]]
+            found.append(None if None in each else frozenset().union(*each))
+        best = min([best, *found], key=rare)
+    return best
+
+
+# The rules to try for a string found in a text, derived from the rules themselves; those without such strings are always tried.
+_NEEDED = tuple(_needed(sre_parser.parse(p)) for _, _, p in RULES)
+_ALWAYS = frozenset(n for n, found in enumerate(_NEEDED) if found is None)
+_HINTS = tuple((f, frozenset(n for n, found in enumerate(_NEEDED) if found and f in found)) for f in sorted(frozenset().union(*filter(None, _NEEDED))))
+
+
+def _to_try(whole: str) -> list[int]:
+    """Numbers of the rules that can match in a text, in order."""
+    return sorted(_ALWAYS.union(*(rules for f, rules in _HINTS if f in whole)))
+
 
 _LOOKALIKE = str.maketrans("авеікмнорстухѕјһԁɡԛԝѵɑοαενικρτυχ", "abeikmhopctyxsjhdgqwvaoaeviкptux".replace("к", "k"))
 _LOOKALIKE_SET = frozenset("авеікмнорстухѕјһԁɡԛԝѵɑοαενικρτυχ")
@@ -136,7 +166,6 @@ _MARKS = re.compile("[̀-ͯ]+")
 _ODD = re.compile(r"[a-z][*$@!|]+[a-z*$]|\*\w|\w\*|[a-z$@][0134578$@]|[0134578$@][a-z]|([a-z])\1\1|(?<!\w)\w[ .\-_]\w[ .\-_]\w(?!\w)")
 _SPACED = re.compile(r"(?<![\w.-])(?:[a-z0-9$@][ .\-_]){2,}[a-z0-9$@](?![\w-])")
 _CHUNK = re.compile(r"[a-z0-9$@!|*]+(?:'[a-z]+)?")
-_WORDS = re.compile(r"[^\W\d_]+")
 _HIDDEN = frozenset({*_INSULT, *_LOWER, *_EXPLICIT, *_SWEAR, "pieceofshit", *(w + "s" for w in _INSULT)})
 
 
@@ -209,13 +238,12 @@ def score(text: str | None) -> tuple[float, float, float]:
     if not text:
         return 0.0, 0.0, 0.0
     low = normalise(text)
-    if _TRIGGER.isdisjoint(_WORDS.findall(low)):
-        return 0.0, 0.0, 0.0
     total = dict.fromkeys(CLASSES, 0.0)
     parts = [" ".join(_STRIP.sub(" ", s).split()) for s in _SENTENCE.split(low)]
     whole = " ".join(p for p in parts if p)
-    excused = [bool(_REPORTED.search(p)) or bool(_REMOVED.search(p)) for p in parts]
-    for kind, weight, pattern in _COMPILED:
+    rules = _to_try(whole)
+    excused = [bool(_REPORTED.search(p)) or bool(_REMOVED.search(p)) for p in parts] if rules else []
+    for kind, weight, pattern in (_COMPILED[n] for n in rules):
         hits = [n for n, p in enumerate(parts) if p and pattern.search(p)]
         if any(not excused[n] for n in hits):
             total[kind] += weight
