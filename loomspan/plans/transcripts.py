@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions.text import SPACE, timestamps
 from loomspan.functions.values import duration_seconds
 from loomspan.operators import chapters as C
+from loomspan.operators.captions import second_lines
 from loomspan.operators.latest import latest_row
 from loomspan.operators.quality import current_comments
 from loomspan.sources.tables import table
@@ -81,28 +82,58 @@ def _seconds(spark: SparkSession, folder: str) -> DataFrame:
     return latest_row(rows, ["video_id", "chunk_id"], [F.col("transcript_chunk").desc()])
 
 
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Transcripts of every notation, as lines of seconds."""
+    rows = table(spark, folder, "transcripts").filter(F.col("transcript_chunk").isNotNull()).select("video_id", "chunk_id", "transcript_chunk")
+    one = latest_row(rows, ["video_id", "chunk_id"], [F.col("transcript_chunk").desc()])
+    return one.select("video_id", "chunk_id", second_lines(F.col("transcript_chunk")).alias("transcript_chunk"))
+
+
 def chunk_merge_trim(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks without what the next one repeats."""
+    """Chunks in the notation of seconds without what the next one repeats."""
     return C.trimmed_chunks(_seconds(spark, folder), "video_id", "chunk_id", "transcript_chunk")
 
 
+def chunk_merge_trim_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of every notation without what the next one repeats."""
+    return C.trimmed_chunks(_lines(spark, folder), "video_id", "chunk_id", "transcript_chunk")
+
+
 def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of all documents in overlapping windows, counted."""
     lines = table(spark, folder, "documents").filter("text IS NOT NULL").select("source", "doc_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "word"))
     return C.chunk_windows(lines, "pos").groupBy("doc_id", "chunk_no").agg(F.count(F.lit(1)).alias("words"))
 
 
-def interleave_headings(spark: SparkSession, folder: str) -> DataFrame:
-    """Transcript lines and headings in order of time."""
-    lines = C.trimmed_chunks(_seconds(spark, folder), "video_id", "chunk_id", "transcript_chunk").select("video_id", "chunk_id", F.posexplode(F.split("transcript_chunk", "\n", -1)).alias("i", "line"))
+def _interleaved(spark: SparkSession, folder: str, chunks: DataFrame) -> DataFrame:
+    lines = C.trimmed_chunks(chunks, "video_id", "chunk_id", "transcript_chunk").select("video_id", "chunk_id", F.posexplode(F.split("transcript_chunk", "\n", -1)).alias("i", "line"))
     text = lines.withColumn("second", C.line_second(F.col("line"))).filter("second IS NOT NULL").withColumn("pos", F.col("chunk_id") * 100000 + F.col("i"))
     heads = _found(spark, folder).select("video_id", F.col("offset").alias("second"), F.col("offset").alias("pos"), C.heading_line(F.col("offset"), F.col("level"), F.col("title")).alias("line"))
     return C.interleaved(text, heads, "video_id")
 
 
+def interleave_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of transcripts in the notation of seconds, and headings, in order of time."""
+    return _interleaved(spark, folder, _seconds(spark, folder))
+
+
+def interleave_headings_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of transcripts of every notation, and headings, in order of time."""
+    return _interleaved(spark, folder, _lines(spark, folder))
+
+
+def _tails(chunks: DataFrame) -> DataFrame:
+    return chunks.select("video_id", "chunk_id", F.array_join(C.last_paragraphs(F.col("transcript_chunk")), "\n").alias("tail"))
+
+
 def last_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    """The last two paragraphs of each chunk, which introduce the next."""
-    return _seconds(spark, folder).select("video_id", "chunk_id", F.array_join(C.last_paragraphs(F.col("transcript_chunk")), "\n").alias("tail"))
+    """The last two paragraphs of each chunk in the notation of seconds, which introduce the next."""
+    return _tails(_seconds(spark, folder))
+
+
+def last_paragraphs_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The last two paragraphs of each chunk of every notation."""
+    return _tails(_lines(spark, folder))
 
 
 def best_transcript(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,7 +142,7 @@ def best_transcript(spark: SparkSession, folder: str) -> DataFrame:
     return C.best_transcript(rows, "video_id")
 
 
-QUERIES = {f.__name__: f for f in (chapter_parse, chapter_rewrite, chapter_intervals, timestamp_chapter_asof, chapter_band_candidates, chapter_greedy_merge, heading_lines, chunk_merge_trim, chunk_windows, interleave_headings, last_paragraphs, best_transcript)}
+QUERIES = {f.__name__: f for f in (chapter_parse, chapter_rewrite, chapter_intervals, timestamp_chapter_asof, chapter_band_candidates, chapter_greedy_merge, heading_lines, chunk_merge_trim, chunk_merge_trim_all, chunk_windows, interleave_headings, interleave_headings_all, last_paragraphs, last_paragraphs_all, best_transcript)}
 
 _S = SPACE
 _MK = r"(?m)^[^\p{L}\p{N}_]*((?:\d{1,2}:)?\d{1,2}:\d{2})[^\p{L}\p{N}_]*(.*?)$"
