@@ -103,13 +103,15 @@ _ADDRESSES = (
     re.compile(r"\b[^\W\d_][\w-]{2,}(?:straße|strasse|str\.|gasse|weg|platz|allee|damm|ufer|steig|chaussee|straat|laan|gatan|vägen|vej)\s+\d{1,4}(?:\s?[a-h])?\b(?![:.]\d)", re.I),
     re.compile(r"\b(?:ул\.|улица|пр\.|проспект|пер\.)\s*[^\W\d_][\w -]*?,?\s*(?:д\.\s*)?\d{1,4}[а-я]?\b", re.I),
 )
+# Words for streets that are also words for other things: only a name in capitals after them makes an address.
+_STREET_OR_NOT = re.compile(r"\b(?i:cours|route|passage|carrera|corso)\s+(?:(?i:de la|de l['’]|du|des|de|d['’]|la|le|les)\s*)?(?P<name>\S)")
 _ADDRESS_REST = re.compile(r"(?:,\s*(?:[Ff]lat|[Aa]pt\.?|[Uu]nit|[Ss]uite|#)\s?\w+)?(?:,\s*\d{4,5}(?=\s+[A-Z]))?(?:,?\s*(?<=[,\d] )[A-Z][a-z]+(?: (?:Bay|Quay|Hollow|Tallow|Town|City))?\b)?")
-_STREET_HINT = re.compile(rf"\d[^\n]{{0,70}}\b(?:{_STREET}|rue|avenue|boulevard|place|allée|chemin)\b|\b(?:calle|avenida|plaza|paseo|camino|via|viale|piazza|rua|ul\.|ул|пр)|(?:straße|strasse|str\.|gasse|weg|platz|allee|damm|ufer|steig)\s+\d", re.I)
 # Small words that don't stand in the name of a street whose words are in small letters.
 _NOT_STREET = frozenset("the of on in my his her a an to and by this that long half at for with is was it more times minutes hours days coins screws views percent years per each no all one other wrong right only".split())
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _LETTER = re.compile(r"[^\W_]")
+_DIGIT = re.compile(r"\d")
 
 
 def luhn(digits: str) -> bool:
@@ -185,7 +187,7 @@ def _phones(text: str) -> Iterator[tuple[int, int, float]]:
 
 
 def _phone(text: str, at: int, code: str) -> Iterator[tuple[int, int, float]]:
-    digits = re.sub(r"\D", "", code)
+    digits = "".join(str(int(c)) for c in re.sub(r"\D", "", code))  # of any script
     groups = re.findall(r"\d+", code)
     if not 7 <= len(digits) <= 15 or _DATE.match(code) or _IP.match(code) or max(map(len, groups)) < 2 or len(groups) > 7:
         return
@@ -220,6 +222,8 @@ def _addresses(text: str) -> Iterator[tuple[int, int, float]]:
                 small = [w for w in words if w[0].islower()]
                 if {w.lower() for w in words} & _NOT_STREET or small and (len(small) < len(words) or len(words) > 2):
                     continue
+            elif (unsure := _STREET_OR_NOT.search(m[0])) and not unsure["name"].isupper():
+                continue
             rest = _ADDRESS_REST.match(text, m.end())
             yield m.start(), rest.end() if rest else m.end(), 2.5
 
@@ -309,7 +313,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     """
     if not text:
         return []
-    digit = any(c in text for c in "0123456789")
+    digit = _DIGIT.search(text) is not None
     taken: list[tuple[int, int, str]] = []  # in order
 
     def take(kind: str, spans: Iterator[tuple[int, int, float]]) -> None:
@@ -324,8 +328,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     if digit:
         take("id_number", _ids(text))
         take("phone", _phones(text))
-        if _STREET_HINT.search(text):
-            take("street_address", _addresses(text))
+        take("street_address", _addresses(text))
     elif _PHONE_WORDS.search(text):
         take("phone", _phones(text))
     if not GIVEN_NAMES.isdisjoint(_WORD.findall(text.lower())):
