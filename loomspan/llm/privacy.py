@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,6 +59,14 @@ _NAME_BEFORE = re.compile(
     re.I,
 )
 _NAME_AFTER = re.compile(r"^(?:[,)]|\s*(?:here|says|about it|has the|said|behind|last year|for me|not to you|y vivo|lives|built|knows|told|will|works|sold|from|in \p{Lu}|$))".replace(r"\p{Lu}", "[A-Z]"), re.I)
+# Words that introduce a person by name, whatever the name; after the weaker ones something must follow that speaks of a person.
+_INTRODUCED = re.compile(
+    r"(?<![\w'’])(?:(?P<strong>(?i:ask|my (?:neighbou?r|dentist|doctor|teacher|boss|friend|cousin|uncle|aunt|brother|sister|colleague|landlord|mechanic|wife|husband|son|daughter)|(?:my|his|her|their) name is|my name[’']s|"
+    r"regards|sincerely|me llamo|mi nombre es|je m[’']appelle|mon nom est|ich hei(?:ß|ss)e|mein name ist|mi chiamo|meu nome é|меня зовут|signed|attn|c/o|contact|mrs?\.?|ms\.?|dr\.?|prof\.?))"
+    r"|(?:I am|i am|I['’]m|i['’]m|soy|Soy|je suis|Je suis|ich bin|Ich bin))[,:]?\s+(?=[^\W\d_])"
+)
+_CJK_NAME = re.compile(r"(?:我叫|我的名字[是叫]|名前は|名は)\s*(?P<name>[\u4e00-\u9fff]{2,4})(?=です|と申|[^\u3040-\u30ff\u4e00-\u9fff]|$)")
+_PARTICLE = re.compile(r"(?:van(?: de[rn]?)?|von(?: de[rmn])?|de la|de las|de los|di|da|dos|das|bin|ibn|al|el|ter|ten) ")
 
 _AT = r"(?:@| @ |\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|＠)"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?| dot )"
@@ -231,8 +240,12 @@ def _addresses(text: str) -> Iterator[tuple[int, int, float]]:
 def _names(text: str) -> Iterator[tuple[int, int, float]]:
     words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     for n, (a, b, word) in enumerate(words):
-        if word.lower() not in GIVEN_NAMES:
+        if not _given(word):
             continue
+        if _shape(word) == "title" and (m := _PARTICLE.match(text, b + 1)) and text[b] == " " and (last := _WORD.match(text, m.end())) and _shape(last[0]) == "title" and _family(last[0]):
+            score = _name_score(text, a, last.end(), word, last[0], None)
+            if score:
+                yield a, last.end(), score
         if n + 1 < len(words):
             k = n + 1
             if len(words[k][2]) == 1 and k + 1 < len(words) and text[b : words[k][0]] == " " and text[words[k][1] : words[k + 1][0]] in (". ", " "):
@@ -251,6 +264,40 @@ def _names(text: str) -> Iterator[tuple[int, int, float]]:
                     yield c, b, score
 
 
+def _given(word: str) -> bool:
+    """A known given name, or several with hyphens that begin with one."""
+    parts = word.lower().split("-")
+    return parts[0] in GIVEN_NAMES and (len(parts) == 1 or all(p[:1].isupper() for p in word.split("-")))
+
+
+def _introduced(text: str) -> Iterator[tuple[int, int, float]]:
+    """Two to four capitalised words of any script behind words that introduce a person."""
+    for m in _INTRODUCED.finditer(text):
+        at, end, names, shape = m.end(), m.end(), 0, None
+        while names < 4 and (word := _WORD.match(text, at)):
+            found = _shape(word[0])
+            initial = len(word[0]) == 1 and word[0].isupper() and names == 1
+            if not initial:
+                low = word[0].lower()
+                if found not in ("title", "upper") or low in _NOT_FAMILY or low in _SALUTE or len(low) < 2:
+                    break
+                if low in _THING:
+                    names = 0
+                    break
+                names, end, shape = names + 1, word.end(), shape or found
+            at = word.end() + (initial and text[word.end() : word.end() + 1] == ".")
+            if text[at : at + 1] not in (" ", "\xa0"):
+                break
+            at += 1
+            if particle := _PARTICLE.match(text, at):
+                at = particle.end()
+        if names < 2 or text[end : end + 1] in ("@", "_") or shape == "upper" and m[0].isupper():
+            continue
+        yield m.end(), end, {"title": 1.0, "upper": 0.5}[shape] + (1.5 if m["strong"] else 0.5) + 1.0 * bool(_NAME_AFTER.search(text[end : end + NEAR]))
+    for m in _CJK_NAME.finditer(text):
+        yield m.start("name"), m.end("name"), 2.5
+
+
 def _shape(word: str) -> str:
     if word.isupper() and len(word) > 1:
         return "upper"
@@ -266,14 +313,15 @@ def _family(word: str) -> bool:
 
 def _name_score(text: str, start: int, end: int, given: str, family: str, after_word) -> float:
     shape = _shape(given)
-    if shape != _shape(family) or shape == "other" or not _family(family):
+    unequal = (shape, _shape(family)) == ("title", "upper")  # Anna SCHMIDT
+    if shape != _shape(family) and not unequal or shape == "other" or not _family(family):
         return 0.0
     if start and text[start - 1] in "@#/_" or text[end : end + 1] in ("@", "_"):
         return 0.0
     before, after = text[max(0, start - NEAR) : start], text[end : end + NEAR]
     if family.lower() in _THING or after_word and after_word[0] - end <= 1 and after_word[2].lower() in _THING and shape == _shape(after_word[2]):
         return 0.0
-    score = {"title": 2.0, "upper": 1.0, "lower": 0.5}[shape]
+    score = {"title": 2.0, "upper": 1.0, "lower": 0.5}[shape] - 0.5 * unequal
     score += 1.5 * bool(_NAME_BEFORE.search(before)) + 1.0 * bool(_NAME_AFTER.search(after))
     if not before.strip() or before.endswith(("\n", ". ", "! ", "? ")):
         score += 0.5
@@ -331,8 +379,8 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
         take("street_address", _addresses(text))
     elif _PHONE_WORDS.search(text):
         take("phone", _phones(text))
-    if not GIVEN_NAMES.isdisjoint(_WORD.findall(text.lower())):
-        take("person_name", _names(text))
+    known = any(not GIVEN_NAMES.isdisjoint(w.split("-")) for w in _WORD.findall(text.lower()))
+    take("person_name", chain(_names(text) if known else (), _introduced(text)))
     return taken
 
 
