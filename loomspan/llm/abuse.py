@@ -111,15 +111,18 @@ RULES: tuple[tuple[str, float, str], ...] = (
 )
 _COMPILED = tuple((c, w, re.compile(p)) for c, w, p in RULES)
 
-# Reported speech, pleas, negation and fiction: what a rule matches within their reach doesn't count.
+# Reported speech, pleas, negation and fiction: what a rule matches in a clause they govern doesn't count.
 _REPORTED = re.compile(
     r"\b(?:call(?:s|ed|ing)? (?:me|him|her|them|us|each other|people|anyone|someone|you|one another)|(?:said|says|wrote|writes|yelled|shouted|told (?:me|us|him|her|them)|heard|accused|reported|complained)\b(?! (?:something|nothing))|"
-    r"(?:villain|character|movie|novel|actor|actress|acting|lyrics|in the book)\b|"
     r"(?:please|can we|could we|we should|let s|everyone) (?:stop|don t|dont|do not|quit|avoid)|(?:stop|quit) (?:calling|saying|telling|sending|posting|writing)|"
     r"(?:don t|dont|do not|never|nobody should|no one should|not ok to|not okay to|wrong to|shouldn t|should not|against|report(?:ed|ing)? (?:this|him|the)) (?:call|say|tell|send|post|write|wish|be so|let anyone))"
 )
 _REMOVED = re.compile(r"\b(?:was|were|got|been) (?:removed|deleted|banned|reported|blocked)\b|\bnow (?:he|she|they) (?:asks?|apologi[sz]e)")
 
+_FICTION = re.compile(r"\b(?:villain|character|movie|novel|actor|actress|acting|lyrics|in the book)\b")
+# A clause that only says who said the one before it, and what else a mark of removal is said of.
+_SAID_BY = re.compile(r"(?:^|\b(?:he|she|they|someone|somebody|people|\w+) )(?:said|says|wrote|writes|yelled|shouted|told (?:me|us|him|her|them))$")
+_OF_A_REPLY = re.compile(r"\b(?:reply|replies|comment|comments|message|messages|post|posts|account|it|that|which|who|he|she|they)\b")
 
 def _needed(parsed: Iterable[tuple]) -> frozenset[str] | None:
     """Strings of which every match of a parsed pattern holds at least one; null if none can be named."""
@@ -233,21 +236,85 @@ _SENTENCE = re.compile(r"(?<=[.!?。！？।])\s+|\n+")
 _STRIP = re.compile(r"[^\w\s+😏🍆🍑😈🥵👅💦]+")
 
 
+_CUT = re.compile(
+    r"([,;:()\"“”„«»—–]|(?<=\s)-(?=\s))|\s(?=(?:and|but|so|because|while|although|though|yet|or|plus)\s(?:(?:all|now|then|also)\s)?(?:i|you|u|ya|he|she|it|we|they|this|that|these|those|the|your|my|his|her|their|our|nobody|there)\b)"
+)
+
+
+def _clauses(sentence: str) -> list[tuple[str, str]]:
+    """(mark that opens it, text) of the clauses of a sentence."""
+    out, opened = [], ""
+    at = 0
+    for m in [*_CUT.finditer(sentence), None]:
+        text = " ".join(_STRIP.sub(" ", sentence[at : m.start() if m else None]).split())
+        if text:
+            out.append((opened, text))
+            opened = ""
+        if m:
+            opened, at = opened + (m[1] or " "), m.end()
+    return out
+
+
+def _excuses(clauses: list[tuple[str, str]]) -> list[tuple[int, int, bool]]:
+    """(start, end, whether an insult to "you" is excused too) of what reports, pleas, negation and fiction govern, in the clauses joined by spaces."""
+    starts = [0]
+    for _, text in clauses:
+        starts.append(starts[-1] + len(text) + 1)
+    out = []
+    for n, (_, text) in enumerate(clauses):
+        for m in _REPORTED.finditer(text):
+            out.append((starts[n] + m.start(), starts[n + 1], True))
+            if m.end() == len(text) and n + 1 < len(clauses):  # what is said follows: a quotation to the sentence's end, or a clause
+                quoted = any(c in clauses[n + 1][0] for c in ':"“”„«»')
+                out.append((starts[n + 1], starts[-1] if quoted else starts[n + 2], True))
+        if m := _SAID_BY.search(text):
+            out.append((starts[n], starts[n + 1], True))
+            if n and len(text.split()) <= 4:
+                out.append((starts[n - 1], starts[n], True))
+        if m := _FICTION.search(text):
+            out += [(starts[n], starts[n + 1], False), (starts[n] + m.start(), starts[n + 1], True)]
+            if re.match(r"(?:in|on|from|at) ", text) and n + 1 < len(clauses):
+                out.append((starts[n + 1], starts[n + 2], True))
+        if m := _REMOVED.search(text):
+            out.append((starts[n], starts[n + 1], True))
+            if n and (m[0].startswith("now") or _OF_A_REPLY.search(text, 0, m.start())):
+                out.append((starts[n - 1], starts[n], True))
+    return out
+
+
+_TO_YOU = re.compile(r"\b(?:you|u|ya|your|ur)\b")
+
+
 def score(text: str | None) -> tuple[float, float, float]:
     """The scores of a text for abuse, hate and sexual content; zeros for null and empty texts."""
     if not text:
         return 0.0, 0.0, 0.0
     low = normalise(text)
     total = dict.fromkeys(CLASSES, 0.0)
-    parts = [" ".join(_STRIP.sub(" ", s).split()) for s in _SENTENCE.split(low)]
+    sentences = _SENTENCE.split(low)
+    parts = [" ".join(_STRIP.sub(" ", s).split()) for s in sentences]
     whole = " ".join(p for p in parts if p)
     rules = _to_try(whole)
-    excused = [bool(_REPORTED.search(p)) or bool(_REMOVED.search(p)) for p in parts] if rules else []
+    places, at = [], 0
+    for p in parts:
+        places.append(at)
+        at += len(p) + 1 if p else 0
+    excuses: list[tuple[int, int, bool]] | None = None
+
+    def counts(start: int, end: int) -> bool:
+        """Whether a match in the whole text is free of excuses: a clause is judged by where the match begins and ends."""
+        nonlocal excuses
+        if excuses is None:
+            marked = [n for n, p in enumerate(parts) if _REPORTED.search(p) or _REMOVED.search(p) or _FICTION.search(p)]
+            excuses = [(places[n] + a, places[n] + b, to_you) for n in marked for a, b, to_you in _excuses(_clauses(sentences[n]))]
+        to_you = bool(excuses) and _TO_YOU.search(whole, start, end) is not None
+        return not any((x < end <= y or x <= start < y) and (own or not to_you) for x, y, own in excuses)
+
     for kind, weight, pattern in (_COMPILED[n] for n in rules):
-        hits = [n for n, p in enumerate(parts) if p and pattern.search(p)]
-        if any(not excused[n] for n in hits):
-            total[kind] += weight
-        elif not hits and kind == "hateful" and not any(excused) and pattern.search(whole):
+        hits = [(places[n] + m.start(), places[n] + m.end()) for n, p in enumerate(parts) if p for m in pattern.finditer(p)]
+        if not hits and kind == "hateful":
+            hits = [m.span() for m in pattern.finditer(whole)]
+        if any(counts(*h) for h in hits):
             total[kind] += weight
     return tuple(total[c] for c in CLASSES)
 
@@ -257,10 +324,11 @@ def score_texts(df: DataFrame, *, text: str) -> DataFrame:
 
     A cascade of transducers reads each text: the first undoes disguises (marks,
     look-alike letters, digits for letters, spaced, masked or stretched words),
-    the next cuts sentences, the next marks those that report, quote, negate or
-    plead, and the last adds the weight of every rule (insult with target, threat,
-    demeaned group, explicit offer or demand) that accepts a sentence which isn't
-    excused. Words alone never count.
+    the next cuts sentences and these into clauses, the next finds what clauses
+    reports, pleas, negation and fiction govern, and the last adds the weight of every
+    rule (insult with target, threat, demeaned group, explicit offer or demand) that
+    matches outside of them. Each stage is made of regular expressions, which
+    stand in for compiled transducers. Words alone never count.
 
     Null and empty texts score 0. Rows stay as they are, repeated ones too. One
     pass without shuffle; columns with the names of the results are replaced.
