@@ -14,10 +14,17 @@ from loomspan.operators.limits import Gate, Spec
 from loomspan.session import shared_folder
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, files_at_once: int = 100) -> DataFrame:
-    """The Parquet table ``name`` of a folder as a stream of its files."""
+def file_stream(spark: SparkSession, folder: str, name: str, files_at_once: int | None = None) -> DataFrame:
+    """The Parquet table ``name`` of a folder as a stream of its files.
+
+    All files there are make one micro-batch, as a table's rows are in no order of
+    time: in several, the watermark of the first would drop rows of the others.
+    ``files_at_once`` is for files that come in order of time.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files_at_once).parquet(f"{folder}/{name}.parque[t]")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    reader = reader if files_at_once is None else reader.option("maxFilesPerTrigger", files_at_once)
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def drained(stream: DataFrame, *, mode: str = "append") -> DataFrame:
@@ -43,7 +50,10 @@ def fresh_uploads(uploads: DataFrame, at: str, late: str = "30 days") -> DataFra
 
 
 def admission(requests: DataFrame, specs: dict[str, Spec], bucket: str = "bucket") -> DataFrame:
-    """Requests admitted or refused as they come: id, bucket, admitted. The state of a bucket is what its longest window holds."""
+    """Requests admitted or refused as they come: id, bucket, admitted. The state of a bucket is what its longest window holds.
+
+    The requests of a bucket in one micro-batch are put in order of time together, however many Arrow batches bring them.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         gate = Gate(specs[key[0]])
@@ -51,12 +61,12 @@ def admission(requests: DataFrame, specs: dict[str, Spec], bucket: str = "bucket
             times, costs, gate.busy_until = state.get
             gate.times, gate.costs = list(times), list(costs)
         out = []
-        for pdf in batches:
-            for i, us, cost in sorted(zip(pdf["id"], pdf["us"], pdf["cost"]), key=lambda r: (r[1], r[0])):
-                free = gate.free_at(int(us), int(cost)) == int(us)
-                if free:
-                    gate.admit(int(us), int(cost), 0)
-                out.append((i, key[0], free))
+        rows = pd.concat([pdf[["id", "us", "cost"]] for pdf in batches]).sort_values(["us", "id"])
+        for i, us, cost in zip(rows["id"], rows["us"], rows["cost"]):
+            free = gate.free_at(int(us), int(cost)) == int(us)
+            if free:
+                gate.admit(int(us), int(cost), 0)
+            out.append((i, key[0], free))
         state.update((gate.times, gate.costs, gate.busy_until))
         yield pd.DataFrame(out, columns=["id", bucket, "admitted"])
 
