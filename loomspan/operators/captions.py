@@ -52,10 +52,10 @@ def captions(chunk: str | None) -> list[tuple[int, str]]:
     marks = [form.match(line) for line in lines]
     times = [(n, _ms(m[1])) for n, m in enumerate(marks) if m]
     if form is _MARKS[4]:
-        for k in range(1, len(times)):
+        for k in range(1, len(times) - 1):  # the first and last have no neighbours on both sides that could agree
             n, t = times[k]
-            near = [times[j][1] for j in (k - 1, k + 1) if 0 <= j < len(times)]
-            if all(abs(t - x) > _FAR_MS for x in near) and (len(near) < 2 or abs(near[0] - near[1]) <= _FAR_MS):
+            near = [times[j][1] for j in (k - 1, k + 1)]
+            if all(abs(t - x) > _FAR_MS for x in near) and abs(near[0] - near[1]) <= _FAR_MS:
                 marks[n] = None
     found = []
     for line, m in zip(lines, marks):

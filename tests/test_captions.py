@@ -1,6 +1,6 @@
 import pytest
 
-from loomspan.operators.captions import in_seconds
+from loomspan.operators.captions import captions, in_seconds
 from loomspan.plans.transcripts import QUERIES
 
 from .conftest import SF
@@ -27,3 +27,8 @@ def test_all_chunks_are_read(spark, name):
 def test_all_videos_are_interleaved(spark):
     rows = spark.read.parquet(f"{SF}/transcripts.parquet").filter("transcript_chunk != ''").select("video_id").distinct()
     assert {r.video_id for r in rows.collect()} <= {r.video_id for r in QUERIES["interleave_headings_all"](spark, SF).filter("is_text = 1").select("video_id").distinct().collect()}
+
+
+def test_last_mark_after_a_pause_stays():
+    assert captions("0:05 one\n0:09 two\n3:00 after the music") == [(5000, "one"), (9000, "two"), (180000, "after the music")]
+    assert captions("0:05 one\n59:00 was when\n0:09 two") == [(5000, "one 59:00 was when"), (9000, "two")]
