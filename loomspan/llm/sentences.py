@@ -272,11 +272,11 @@ def _pieces(piece: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc, text in zip(pdf["doc"], pdf["text"]):
+            for doc, key, text in zip(pdf["doc"], pdf["id"], pdf["text"]):
                 cuts = _cuts(text, piece)
                 for n, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(text)])):
                     left = max(0, a - 64)
-                    yield pd.DataFrame({"doc": [doc], "piece": [n], "left": [left], "begin": [a - left], "end": [b - left], "last": [b == len(text)], "text": [text[left : b + 4096]]})
+                    yield pd.DataFrame({"doc": [doc], "id": [key], "piece": [n], "left": [left], "begin": [a - left], "end": [b - left], "last": [b == len(text)], "text": [text[left : b + 4096]]})
 
     return run
 
@@ -360,31 +360,48 @@ def sentences(documents: DataFrame, *, doc: str = "doc_id", text: str = "text",
     kind = dict(documents.dtypes)[doc]
     rows = documents.filter(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     short = rows.filter(F.length("text") <= piece).mapInPandas(_short, f"doc {kind}, start_char int")
-    cut = rows.filter(F.length("text") > piece).mapInPandas(_pieces(piece), f"doc {kind}, piece int, left long, begin int, end int, last boolean, text string")
-    cut = materialize(cut.repartition("doc", "piece"))  # the pieces of long documents alone, read twice below
+    starts = _long_starts(_keyed(rows, piece), piece, kind)
+    return (short if starts is None else short.unionByName(starts.select(F.col("id").alias("doc"), "start_char"))).withColumnRenamed("doc", doc)
+
+
+def _keyed(rows: DataFrame, piece: int) -> DataFrame:
+    """Long documents, each row with a key of its own as doc and its name as id, which may be null or repeated."""
+    return rows.filter(F.length("text") > piece).select(F.monotonically_increasing_id().alias("doc"), F.col("doc").alias("id"), "text")
+
+
+def _long_starts(rows: DataFrame, piece: int, kind: str) -> DataFrame | None:
+    """doc, id, start_char of the sentences of keyed rows, by a prefix scan over their pieces; null if there are no rows."""
+    cut = rows.mapInPandas(_pieces(piece), f"doc long, id {kind}, piece int, left long, begin int, end int, last boolean, text string")
+    cut = materialize(cut.repartition("doc", "piece"))  # the pieces of long documents alone, read three times below
     if cut.isEmpty():
-        return short.withColumnRenamed("doc", doc)
-    states = cut.mapInPandas(_functions, f"doc {kind}, piece int, map array<int>").groupBy("doc").applyInPandas(_scan, f"doc {kind}, piece int, state int")
-    acts = cut.join(states, ["doc", "piece"]).mapInPandas(_emit, f"doc {kind}, piece int, k int, at long, act int")
+        return None
+    states = cut.mapInPandas(_functions, "doc long, piece int, map array<int>").groupBy("doc").applyInPandas(_scan, "doc long, piece int, state int")
+    acts = cut.drop("id").join(states, ["doc", "piece"]).mapInPandas(_emit, "doc long, piece int, k int, at long, act int")
     ahead = Window.partitionBy("doc").orderBy("piece", "k").rowsBetween(1, Window.unboundedFollowing)
     settled = F.when(F.col("act").bitwiseAND(12) != 0, F.col("act").bitwiseAND(12))
     acts = acts.withColumn("fate", F.first(settled, ignorenulls=True).over(ahead))
     kept = (F.col("act").bitwiseAND(1) != 0) | (F.col("act").bitwiseAND(2) != 0) & (F.coalesce("fate", F.lit(8)) == 8)
-    long_ = acts.filter(kept & (F.col("at") >= 0)).select("doc", F.col("at").cast("int").alias("start_char")).distinct()
-    return short.unionByName(long_).withColumnRenamed("doc", doc)
+    starts = acts.filter(kept & (F.col("at") >= 0)).select("doc", F.col("at").cast("int").alias("start_char")).distinct()
+    return starts.join(cut.filter("piece = 0").select("doc", "id"), "doc")
 
 
-def sentence_units(documents: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each sentence with its number, place and text without outer whitespace."""
+def sentence_units(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
+    """Each sentence with its number, place and text without outer whitespace. Documents longer than ``piece`` are divided as in sentences()."""
 
     def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for d, t in zip(pdf["doc"], pdf["text"]):
-                starts = sentence_starts(t)
+            for d, t, starts in zip(pdf["doc"], pdf["text"], pdf["starts"] if "starts" in pdf else map(sentence_starts, pdf["text"])):
                 rows += [(d, n, a, t[a:b].rstrip()) for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(t)]))]
             yield pd.DataFrame(rows, columns=["doc", "sentence_no", "start_char", "sentence"])
 
     kind = dict(documents.dtypes)[doc]
+    result = f"doc {kind}, sentence_no int, start_char int, sentence string"
     rows = documents.filter(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    return rows.mapInPandas(units, f"doc {kind}, sentence_no int, start_char int, sentence string").withColumnRenamed("doc", doc)
+    out = rows.filter(F.length("text") <= piece).mapInPandas(units, result)
+    long_ = materialize(_keyed(rows, piece))  # so that keys stay the same
+    starts = _long_starts(long_, piece, kind)
+    if starts is not None:
+        packed = starts.groupBy("doc").agg(F.sort_array(F.collect_list("start_char")).alias("starts"))
+        out = out.unionByName(long_.join(packed, "doc").select(F.col("id").alias("doc"), "text", "starts").mapInPandas(units, result))
+    return out.withColumnRenamed("doc", doc)
