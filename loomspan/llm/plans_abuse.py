@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.abuse import rates, score_texts
+from loomspan.llm.abuse import MAX_LABELS, fit_weights, rates, score_texts
 from loomspan.llm.threads import latest_comments
 from loomspan.operators.latest import latest_row
 from loomspan.sources.tables import table
@@ -13,7 +13,8 @@ from loomspan.sources.tables import table
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     comments = latest_comments(table(spark, folder, "comments"), "text_original", "video_id")
-    return score_texts(comments, text="text_original").drop("text_original", "last_seen")
+    labels = table(spark, folder, "comment_labels").select("text_original", "abusive", "hateful", "sexual").limit(MAX_LABELS).collect()
+    return score_texts(comments, text="text_original", weights=fit_weights(labels)).drop("text_original", "last_seen")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
