@@ -1,6 +1,9 @@
 import random
 
-from loomspan.llm.mixing import count_tokens, mix, plan_quotas, sainte_lague
+import pytest
+from pyspark.sql import functions as F
+
+from loomspan.llm.mixing import count_tokens, mix, sainte_lague, shard_quotas
 
 
 def frames(spark, docs, targets):
@@ -20,11 +23,33 @@ def test_sainte_lague_against_plain_highest_quotients():
         assert got == {k: sum(q[1] == k for q in quotients) for k in weights}
 
 
-def test_quotas_respect_caps_and_shards():
-    totals = {("a", 0): 1000, ("a", 1): 3000, ("b", 0): 100, ("d", 0): 500}
-    block, quotas = plan_quotas(totals, {"a": (0.5, 1), "b": (0.3, 4), "c": (0.2, 2)}, blocks=100)
-    assert abs(sum(quotas[k] for k in quotas if k[0] == "a") / sum(quotas.values()) - 0.625) < 0.01
-    assert abs(quotas["a", 1] - 3 * quotas["a", 0]) <= 2 and set(k[0] for k in quotas) == {"a", "b"}
+def test_many_seats_cost_no_loop_over_them():
+    got = sainte_lague({"a": 0.6, "b": 0.3, "c": 0.1}, 10**12, {"a": 10**12, "b": 10**12, "c": 10})
+    assert got["c"] == 10 and sum(got.values()) == 10**12 and abs(got["a"] - 2 * got["b"]) <= 2
+
+
+@pytest.mark.parametrize("shards", [1, 20, 2000])
+def test_shares_hold_at_any_number_of_shards(spark, shards):
+    rnd = random.Random(shards)
+    sizes = [("big", k, 60_000_000 + rnd.randrange(-10**6, 10**6)) for k in range(shards)]
+    sizes += [("middle", k, 3_000_000 + rnd.randrange(-10**5, 10**5)) for k in range(max(1, shards // 3))]
+    sizes += [("small", k, 1_000_000 + rnd.randrange(-10**5, 10**5)) for k in range(max(1, shards // 20))]
+    targets = {"big": (0.7, 1), "middle": (0.25, 4), "small": (0.05, 4), "missing": (0.0, 1)}
+    quotas = shard_quotas(spark.createDataFrame(sizes, "source string, shard int, tokens long"), targets)
+    given = {r.source: r.give for r in quotas.groupBy("source").agg(F.sum("give").alias("give")).collect()}
+    for s, (share, _) in targets.items():
+        assert abs(given.get(s, 0) / sum(given.values()) - share) < 0.005 * max(share, 0.001)
+    assert quotas.filter(F.col("give") > F.col("in_shard") * F.col("most")).isEmpty()
+
+
+def test_quotas_of_shards_are_those_of_plain_quotients(spark):
+    rnd = random.Random(5)
+    sizes = {k: 1000 + rnd.randrange(500) for k in range(0, 256 * 40, 256)}  # all of one group
+    quotas = shard_quotas(spark.createDataFrame([("a", k, n) for k, n in sizes.items()], "source string, shard int, tokens long"), {"a": (1.0, 3)}, total=30_000)
+    rows = quotas.collect()
+    block = rows[0].block
+    want = sainte_lague({k: float(n) for k, n in sizes.items()}, 30_000 // block, {k: 10**9 for k in sizes})
+    assert {r.shard: r.give // block for r in rows} == {k: n for k, n in want.items() if n}
 
 
 def test_shares_and_repeats(spark):
@@ -33,7 +58,7 @@ def test_shares_and_repeats(spark):
     docs = [(n, s, "word " * rnd.randrange(1, 120)) for n, s in enumerate(sources)]
     docs += [docs[3], docs[650], (None, "Big", "x"), (5000, "big", None), (5001, "big", ""), (5002, "other", "long " * 400)]
     targets = [("big", 0.5, 1), ("small_one", 0.3, 4), ("other", 0.1, 2), ("missing", 0.1, 3)]
-    chosen, shares = mix(*frames(spark, docs, targets), blocks=500, shard_rows=150)
+    chosen, shares = mix(*frames(spark, docs, targets), shard_rows=150)
     rows = chosen.collect()
     most = {"big": 1, "small_one": 4, "other": 2}
     assert all(1 <= r.copies <= most[r.source] for r in rows) and len({r.doc_id for r in rows}) == len(rows)
@@ -43,7 +68,7 @@ def test_shares_and_repeats(spark):
         assert abs(got[s].actual_share - want) < 0.02 and abs(got[s].reachable_share - want) < 1e-9
         assert got[s].selected_tokens == sum(r.tokens * r.copies for r in rows if r.source == s)
     assert abs(sum(g.actual_share for g in got.values()) - 1) < 1e-9 and total == sum(g.selected_tokens for g in got.values())
-    again = {tuple(r) for r in mix(*frames(spark, docs[::-1], targets), blocks=500, shard_rows=150)[0].collect()}
+    again = {tuple(r) for r in mix(*frames(spark, docs[::-1], targets), shard_rows=150)[0].collect()}
     assert again == {tuple(r) for r in rows}
 
 
