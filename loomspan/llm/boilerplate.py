@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.session import materialize
 
 #: Documents of one source a line must stand in.
 MIN_DOCUMENTS = 5
-#: Counters of a sketch: DEPTH rows of WIDTH bytes, whatever the size of the corpus.
-WIDTH, DEPTH = 1 << 21, 2
-#: Confirmed lines are broadcast up to this number (each 16 bytes of hash and its source), and joined by shuffle beyond.
+#: Lines that one summary counts, about; the summary of a source with more is divided by hash.
+PART_LINES = 250_000
+#: Lines that a task counts before it hands its summaries on.
+HELD_LINES = 1_000_000
+#: Confirmed lines, candidates and large sources are broadcast up to this number (16 bytes of hash and a source each), and joined by shuffle beyond.
 BROADCAST_LINES = 200_000
 
 
@@ -27,64 +28,106 @@ def line_key(line: Column) -> Column:
     return F.when(letters != "", F.struct(F.xxhash64(letters, F.lit(1)).alias("a"), F.xxhash64(letters, F.lit(2)).alias("b")))
 
 
-class LineSketch:
-    """Count-min summaries of (source, line) pairs, in one array of bytes.
+class Summaries:
+    """Heavy-hitter summaries of the lines of each source.
 
-    A counter stops at 255. Sketches merge by adding, in any order; a pair's
-    estimate is never below its count, so every pair that reaches the minimum
-    is a candidate. (Counter-based summaries as those of Misra and Gries can't
-    promise that for a fixed minimum of five unless they hold a counter for each
-    fifth line of a source.)
+    A summary is the sorted hashes of lines (64 bits) with a counter each. Two
+    of the same source merge by adding the counters of equal hashes, in any
+    order. As a minimum of a few documents is asked for, whatever the size of
+    the source, a counter may only be dropped once its final value is known: so
+    summaries have as many counters as they need, are divided into parts that no
+    task need fear, and drop what is below the minimum when all of a part is merged.
     """
 
     @staticmethod
-    def places(pairs: np.ndarray) -> list[np.ndarray]:
-        h = pairs.astype(np.uint64)
-        return [((h * np.uint64(m)) >> np.uint64(32)).astype(np.int64) % WIDTH + k * WIDTH for k, m in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))]
+    def _added(group: np.ndarray, line: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counters of equal (group, line) added up, sorted by both."""
+        order = np.lexsort((line, group))
+        group, line, count = group[order], line[order], count[order]
+        first = np.ones(len(line), bool)
+        first[1:] = (group[1:] != group[:-1]) | (line[1:] != line[:-1])
+        at = np.flatnonzero(first)
+        return group[at], line[at], (np.add.reduceat(count, at) if len(at) else count)
 
     @classmethod
     def build(cls, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(WIDTH * DEPTH, np.uint32)
-        some = False
-        for pdf in batches:
-            some = some or len(pdf) > 0
-            for at in cls.places(pdf["pair"].to_numpy(np.int64)):
-                np.add.at(table, at, 1)
-        if some:
-            yield pd.DataFrame({"sketch": [cls.pack(np.minimum(table, 255).astype(np.uint8))]})
-
-    @staticmethod
-    def pack(table: np.ndarray) -> bytes:
-        return zlib.compress(table.tobytes(), 1)
+        """source, part, lines, counts of what a task has read, from rows of source, parts, pairs."""
+        held: list[tuple] = []
+        n = 0
+
+        def summed() -> pd.DataFrame:
+            codes, names = pd.factorize(np.concatenate([h[0] for h in held]))
+            parts, lines = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            most = int(parts.max()) + 1
+            group, line, count = cls._added(codes * most + parts, lines, np.ones(len(lines), np.int64))
+            at = np.flatnonzero(np.diff(group, prepend=-1))
+            ends = [*at[1:], len(group)]
+            held.clear()
+            return pd.DataFrame({
+                "source": names[group[at] // most], "part": (group[at] % most).astype(np.int32),
+                "lines": [line[a:b].tobytes() for a, b in zip(at, ends)], "counts": [count[a:b].astype(np.uint32).tobytes() for a, b in zip(at, ends)],
+            })
 
-    @staticmethod
-    def unpack(packed: bytes) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(packed), np.uint8)
-
-    @classmethod
-    def merge(cls, a: bytes, b: bytes) -> bytes:
-        x, y = cls.unpack(a), cls.unpack(b)
-        return cls.pack(np.minimum(x.astype(np.uint16) + y, 255).astype(np.uint8))
+        for pdf in batches:
+            lengths = pdf["pairs"].map(len).to_numpy()
+            if not lengths.sum():
+                continue
+            lines = np.concatenate(pdf["pairs"].to_numpy()).astype(np.int64)
+            held.append((np.repeat(pdf["source"].to_numpy(), lengths), lines % np.repeat(pdf["parts"].to_numpy(np.int64), lengths), lines))
+            n += len(lines)
+            if n >= HELD_LINES:
+                yield summed()
+                n = 0
+        if held:
+            yield summed()
 
     @classmethod
-    def of(cls, pairs: DataFrame) -> bytes | None:
-        """Of a column 'pair' of hashes: one sketch a task, merged pairwise in a tree."""
-        parts = pairs.mapInPandas(cls.build, "sketch binary").rdd.map(lambda r: bytes(r[0]))
-        empty = cls.pack(np.zeros(WIDTH * DEPTH, np.uint8))
-        return parts.treeAggregate(empty, cls.merge, cls.merge)
+    def merge(cls, minimum: int):
+        """Rows sorted by source and part become the lines (source, pair) whose counters reach the minimum."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            waiting: pd.DataFrame | None = None
+
+            def merged(rows: pd.DataFrame) -> pd.DataFrame:
+                of_row = rows.groupby(["source", "part"], sort=False).ngroup().to_numpy()
+                lines = [np.frombuffer(x, np.int64) for x in rows["lines"]]
+                counts = [np.frombuffer(x, np.uint32) for x in rows["counts"]]
+                lengths = [len(x) for x in lines]
+                group, line, count = cls._added(np.repeat(of_row, lengths), np.concatenate(lines), np.concatenate(counts).astype(np.int64))
+                names = rows["source"].to_numpy()[np.unique(of_row, return_index=True)[1]]
+                kept = count >= minimum
+                return pd.DataFrame({"source": names[group[kept]], "pair": line[kept]})
+
+            for pdf in batches:
+                rows = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
+                last = rows.iloc[-1] if len(rows) else None
+                if last is None:
+                    continue
+                open_ = ((rows["source"] == last["source"]) & (rows["part"] == last["part"])).to_numpy()
+                waiting = rows[open_].reset_index(drop=True)
+                if not open_.all():
+                    yield merged(rows[~open_].reset_index(drop=True))
+            if waiting is not None:
+                yield merged(waiting)
+
+        return run
 
     @classmethod
-    def at_least(cls, spark: SparkSession, packed: bytes, minimum: int):
-        """A function of Column 'pair': whether its estimate reaches the minimum."""
-        shared = spark.sparkContext.broadcast(packed)
+    def heavy(cls, lines: DataFrame, minimum: int) -> DataFrame:
+        """source, pair of the lines that reach the minimum, from rows of source, pairs (hashes of a document's different lines)."""
+        large = lines.groupBy("source").agg(F.sum(F.size("pairs")).alias("n")).filter(F.col("n") > PART_LINES)
+        large = large.select("source", F.ceil(F.col("n") / PART_LINES).cast("int").alias("parts"))
+        sized = lines.join(few(large), "source", "left").select("source", F.coalesce("parts", F.lit(1)).alias("parts"), "pairs")
+        kind = dict(lines.dtypes)["source"]
+        partial = sized.mapInPandas(cls.build, f"source {kind}, part int, lines binary, counts binary")
+        together = partial.repartition("source", "part").sortWithinPartitions("source", "part")
+        return together.mapInPandas(cls.merge(minimum), f"source {kind}, pair long")
 
-        @F.pandas_udf("boolean")
-        def reaches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            table = cls.unpack(shared.value)
-            for pair in parts:
-                yield pd.Series(np.minimum.reduce([table[at] for at in cls.places(pair.to_numpy(np.int64))]) >= min(minimum, 255))
 
-        return reaches
+def few(df: DataFrame) -> DataFrame:
+    """A written table marked for broadcast if it has at most BROADCAST_LINES rows, else as it is."""
+    df = materialize(df)
+    return F.broadcast(df) if df.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else df
 
 
 def repeated_lines(documents: DataFrame, *, minimum: int = MIN_DOCUMENTS) -> DataFrame:
@@ -96,22 +139,20 @@ def repeated_lines(documents: DataFrame, *, minimum: int = MIN_DOCUMENTS) -> Dat
     are lines of documents whose source or text is null. A line that is repeated
     within a document counts once; each of its places is found.
 
-    Three passes over hashes, one array of them a document: count-min summaries
-    per source and line, merged in a tree; exact counts of the candidates alone;
-    a join with the confirmed lines, which are broadcast if they are few enough
-    and shuffled if not. A hot source is no hot group: groups are (source, line),
-    and counted before the shuffle.
+    Three passes over hashes, one array of them a document: summaries of each
+    source, built where its documents lie and merged in one shuffle; exact counts
+    (128 bits) of the lines whose summaries reach the minimum; a join with the
+    confirmed lines, which are broadcast if they are few enough and shuffled if
+    not. A hot source is no hot group: its summary is divided by hash.
     """
-    spark = documents.sparkSession
     keys = F.transform(F.split(F.col("text"), "\n", -1), line_key)
     lines = materialize(documents.filter(F.col("source").isNotNull() & F.col("text").isNotNull()).select("doc", "source", keys.alias("keys")))
-    once = lines.select("source", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
-    once = once.withColumn("pair", F.xxhash64("source", "key.a", "key.b"))
-    reaches = LineSketch.at_least(spark, LineSketch.of(once.select("pair")), minimum)
-    counted = once.filter(reaches("pair")).groupBy("source", "key").agg(F.count(F.lit(1)).alias("n"))
-    confirmed = materialize(counted.filter(F.col("n") >= minimum).select("source", "key"))
-    if confirmed.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
-        confirmed = F.broadcast(confirmed)
+    different = F.array_distinct(F.array_compact("keys"))
+    pairs = F.transform(different, lambda k: F.xxhash64("source", k["a"], k["b"]))
+    heavy = Summaries.heavy(lines.select("source", pairs.alias("pairs")), minimum)
+    once = lines.select("source", F.explode(different).alias("key")).withColumn("pair", F.xxhash64("source", "key.a", "key.b"))
+    counted = once.join(few(heavy), ["source", "pair"], "left_semi").groupBy("source", "key").agg(F.count(F.lit(1)).alias("n"))
+    confirmed = few(counted.filter(F.col("n") >= minimum).select("source", "key"))
     places = lines.select("doc", "source", F.posexplode("keys").alias("line_no", "key")).filter(F.col("key").isNotNull())
     return places.join(confirmed, ["source", "key"], "left_semi").select("doc", "line_no")
 

@@ -1,9 +1,12 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from loomspan.llm import boilerplate
-from loomspan.llm.boilerplate import LineSketch, repeated_lines, without_lines
+from loomspan.llm.boilerplate import Summaries, repeated_lines, without_lines
 
 
 def docs(spark, rows):
@@ -42,13 +45,25 @@ def test_empty(spark):
     assert repeated_lines(docs(spark, [("d", "s", "x\nx\nx\nx\nx\nx", "k", 1, "z")])).collect() == []
 
 
-def test_sketches_merge_and_never_undercount():
-    import pandas as pd
+@pytest.mark.parametrize("part,held", [(250_000, 1_000_000), (50, 40)])
+def test_summaries_find_exactly_the_heavy_lines_of_each_source(spark, monkeypatch, part, held):
+    monkeypatch.setattr(boilerplate, "PART_LINES", part)
+    monkeypatch.setattr(boilerplate, "HELD_LINES", held)
+    rnd = np.random.default_rng(0)
+    many = rnd.integers(-(2**60), 2**60, 40)
+    rows = []
+    for doc in range(300):
+        source = "hot" if doc % 3 else f"s{doc % 7}"
+        rows.append((source, [int(x) for x in {*rnd.choice(many, 3), *rnd.integers(-(2**60), 2**60, 5)}]))
+    counts = Counter((s, p) for s, ps in rows for p in ps)
+    want = {k for k, n in counts.items() if n >= 5}
+    got = Summaries.heavy(spark.createDataFrame(rows, "source string, pairs array<long>").repartition(5), 5).collect()
+    assert sorted((r.source, r.pair) for r in got) == sorted(want) and want
 
-    pairs = np.random.default_rng(0).integers(-(2**60), 2**60, 5000)
-    many = np.repeat(pairs[:50], 7)
-    one = next(LineSketch.build(iter([pd.DataFrame({"pair": many}), pd.DataFrame({"pair": pairs})])))["sketch"][0]
-    two = LineSketch.merge(*(next(LineSketch.build(iter([pd.DataFrame({"pair": x})])))["sketch"][0] for x in (many, pairs)))
-    assert (LineSketch.unpack(one) == LineSketch.unpack(two)).all()
-    estimate = np.minimum.reduce([LineSketch.unpack(one)[at] for at in LineSketch.places(pairs)])
-    assert (estimate[:50] >= 8).all() and (estimate >= 1).all() and (estimate[50:] >= 5).mean() < 0.01
+
+def test_singletons_are_no_candidates_at_any_size():
+    rnd = np.random.default_rng(1)
+    batch = pd.DataFrame({"source": ["a"] * 10, "parts": 8, "pairs": list(rnd.integers(-(2**62), 2**62, (10, 300_000)))})
+    rows = pd.concat(Summaries.build(iter([batch]))).sort_values(["source", "part"])
+    assert rows["lines"].map(len).sum() == 8 * 3_000_000
+    assert sum(len(found) for found in Summaries.merge(5)(iter([rows]))) == 0
