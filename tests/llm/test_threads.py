@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from loomspan.llm.threads import conversations, with_roles
+from loomspan.llm.threads import ThreadAutomaton, conversations, with_roles
 
 SCHEMA = (
     "comment_id string, video_id string, parent_id string, published_at timestamp_ntz, total_reply_count bigint, last_seen timestamp_ntz, "
@@ -44,8 +44,8 @@ def brute(rows):
     return found
 
 
-@pytest.mark.parametrize("hot", [2, 10**6])
-def test_against_brute_force(spark, hot):
+@pytest.mark.parametrize("held", [2, 10**6])
+def test_against_brute_force(spark, held):
     rnd = random.Random(11)
     rows = []
     for n in range(160):
@@ -57,7 +57,7 @@ def test_against_brute_force(spark, hot):
         r[1] = next(q[1] for q in rows if q[0] == r[2])
     rows += [["x1", "v", "x2", 5, 0, 1, "t", "a"], ["x2", "v", "x1", 5, 0, 1, "t", "a"], ["x3", "v", "x3", 5, 0, 1, "t", "a"], ["x4", "v", "gone", 5, 0, 1, "t", "a"]]
     rows += [["c031", "other", "c001", None, 0, 0, "old", "a"], rows[40], [None, "v", None, 1, 1, 1, "t", "a"]]
-    got = {tuple(r) for r in conversations(frame(spark, rows), hot_rows=hot).select("thread_id", "msg_no", "comment_id").collect()}
+    got = {tuple(r) for r in conversations(frame(spark, rows), held=held).select("thread_id", "msg_no", "comment_id").collect()}
     assert got == brute(rows) and len(got) > 10
 
 
@@ -69,3 +69,20 @@ def test_deep_chain_roles_and_empty(spark):
     assert [r.role for r in out] == ["starter"] + ["owner", "starter", "other", "other"] * 5
     assert conversations(frame(spark, [])).collect() == []
     assert conversations(frame(spark, rows[:1])).collect() == []
+
+
+def test_one_hot_thread_within_one_instant(spark):
+    """All messages of one thread at the same time, spread over tasks; the top's id is in the middle."""
+    rows = [["m050", "v", None, 5, 90, 1, "t", "a"]] + [[f"m{n:03d}", "v", "m050", 5, 0, 1, "t", "a"] for n in range(120) if n != 50]
+    got = [tuple(r) for r in conversations(frame(spark, rows).repartition(4), held=7).orderBy("msg_no").collect()]
+    assert got == [("m050", n, f"m{n:03d}") for n in range(120)]
+    rows[0][4] = 120
+    assert conversations(frame(spark, rows), held=7).collect() == []
+
+
+def test_automaton():
+    a = ThreadAutomaton
+    run = lambda symbols: [s := 0] and [s := a.STEPS[x][s] for x in symbols][-1]
+    assert run([a.TOP]) == a.OPEN and run([a.TOP, a.ANSWER, a.ANSWER]) == a.ANSWERED and run([a.ANSWER, a.TOP]) == a.ANSWERED
+    assert run([a.ANSWER]) == a.BEFORE
+    assert all(run(x) == a.BROKEN for x in ([a.TOP, a.TOP], [a.TOP, a.EMPTY, a.ANSWER], [a.UNDATED, a.TOP], [a.TOP, a.ANSWER, a.STRAY], [a.ANSWER, a.TOP, a.EARLY]))
