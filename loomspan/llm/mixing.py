@@ -21,6 +21,8 @@ SHARD_ROWS = 200_000
 LEAST_BLOCKS, SHARD_BLOCKS = 2_000, 128
 #: Groups that the shards of a source fall into; seats are dealt to groups first, then within each.
 GROUPS = 256
+#: Rows up to which a table of targets, or of groups of shards, is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def source_name(source: Column) -> Column:
@@ -82,6 +84,11 @@ def sainte_lague(weights: Mapping[object, float], seats: int, caps: Mapping[obje
     return given
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A table of at most so many rows, marked for broadcast if they are no more than BROADCAST_ROWS."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def block_size(have: Mapping[str, int], shards: Mapping[str, int], targets: Mapping[str, tuple[float, int]], total: int | None = None) -> tuple[int, int]:
     """(tokens of a block, blocks of the whole mix), from the tokens and the shards of each source.
 
@@ -125,7 +132,7 @@ def shard_quotas(sizes: DataFrame, targets: Mapping[str, tuple[float, int]], *,
         own = {r.group: (float(r.tokens), r.shards) for r in summed if r.source == s}
         dealt = sainte_lague({g: t for g, (t, _) in own.items()}, n, {g: room(int(t), s) + k for g, (t, k) in own.items()})
         given += [(s, g, k, block, most[s]) for g, k in dealt.items() if k]
-    plan = spark.createDataFrame(given, "source string, group int, seats long, block long, most int")
+    plan = _small(spark.createDataFrame(given, "source string, group int, seats long, block long, most int"), len(given))
     whole = Window.partitionBy("source", "group")
     exact = F.col("tokens") * F.col("seats") / F.sum("tokens").over(whole)
     both = grouped.join(plan, ["source", "group"]).withColumn("base", F.floor(exact + 0.5))
@@ -169,13 +176,13 @@ def mix(documents: DataFrame, targets: DataFrame, *, seed: int = 42, tokenizer:
     for r in targets.select(source_name(F.col("source")).alias("s"), "target_share", "max_repeats").collect():
         if r.s is not None and r.target_share is not None:
             wanted[r.s] = max(wanted.get(r.s, (0.0, 0)), (float(r.target_share), int(r.max_repeats if r.max_repeats is not None else 1)))
-    names = spark.createDataFrame([(s,) for s in wanted], "source string")
-    rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").filter(F.col("doc_id").isNotNull()).join(names, "source", "left_semi")
-    sized = materialize(count_tokens(rows, text="text", tokenizer=tokenizer).filter(F.col("tokens") > 0))
+    names = _small(spark.createDataFrame([(s,) for s in wanted], "source string"), len(wanted))
+    rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).join(names, "source", "left_semi")
+    sized = materialize(count_tokens(rows, text="text", tokenizer=tokenizer)).filter(F.col("tokens") > 0)  # a filter before would count twice
     counts = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.ceil(F.col("n") / F.lit(shard_rows)))
     shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n")).cast("int")
     mine = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
-    placed = sized.join(counts, "source").withColumn("shard", shard).drop("n")
+    placed = sized.join(_small(counts, len(wanted)), "source").withColumn("shard", shard).drop("n")
     once = placed.withColumn("again", F.coalesce(F.lag("doc_id").over(mine) == F.col("doc_id"), F.lit(False))).filter(~F.col("again")).drop("again")
     before = F.coalesce(F.sum("tokens").over(mine.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ringed = materialize(once.withColumn("before", before))
