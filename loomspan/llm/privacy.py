@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -17,6 +19,8 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 ACCEPT = 2.0
 #: Characters before and after a span in which words count.
 NEAR = 34
+#: A public tokenizer: words that are single tokens of it in small letters are common words, and so seldom given names.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 # Given names the proposer of person names knows.
 GIVEN_NAMES = frozenset(
@@ -49,7 +53,14 @@ _THING = frozenset(
     "bridge museum lake street st lane road rd avenue ave row close way drive square park river valley hill mountain island bay harbour harbor station school university college library "
     "theatre theater hotel cafe café bar shop store club radio studio studios woodworks works cycles motors audio media films records kit model version edition manual handbook channel show podcast "
     "episode series foundation institute hall tower church castle garden gardens market festival award prize company co inc ltd gmbh llc brothers sons method theorem effect number museum's "
-    "workshop garage tools instruments bikes crafts kitchen bakery gallery press news tv online official reviews repairs restorations".split()
+    "workshop garage tools instruments bikes crafts kitchen bakery gallery press news tv online official reviews repairs restorations orchard meadow pantry attic cedar maple willow pottery collective academy "
+    "society united city county team gaming vlog tutorials daily academy orchestra band ensemble farm ranch forge foundry mill woods forest creek beach port fort mount cape bay quay hollow puerto rio lago monte isla villa bad sankt saint".split()
+)
+# Common words that are common family names too.
+_COMMON_FAMILY = frozenset(
+    "brown white black green grey gray young king hill wood woods cook baker smith walker hall wright carter turner parker cooper bell ward cox price long foster fisher hunter hunt marsh rice stone fox rose "
+    "west north park wolf archer mason porter potter page pope cross day field fields frost gold may moon noble pike reed rich sharp short steel strong sweet waters webb wise little day love bird brooks banks knight bishop "
+    "butler carpenter shepherd singer weaver miller silva costa santos cruz diaz lee kim park chen wang li khan singh".split()
 )
 _PLACE_BEFORE = re.compile(r"(?:\b(?:in|from|near|to|at|of|visit|lake|mount|the|via|à|en|nach|aus|bei)\s+|[@#/_.-])$", re.I)
 _SALUTE = frozenset("hi hello hey thanks thank dear yes no sorry please great nice well so and ok okay agreed good cheers bye wow lol then but because also first congrats bravo source".split())
@@ -59,11 +70,20 @@ _NAME_BEFORE = re.compile(
     re.I,
 )
 _NAME_AFTER = re.compile(r"^(?:[,)]|\s*(?:here|says|about it|has the|said|behind|last year|for me|not to you|y vivo|lives|built|knows|told|will|works|sold|from|in \p{Lu}|$))".replace(r"\p{Lu}", "[A-Z]"), re.I)
-# Words that introduce a person by name, whatever the name; after the weaker ones something must follow that speaks of a person.
+# Words that introduce a person by name, whatever the name; behind the weaker ones more must speak of a person.
 _INTRODUCED = re.compile(
-    r"(?<![\w'’])(?:(?P<strong>(?i:ask|my (?:neighbou?r|dentist|doctor|teacher|boss|friend|cousin|uncle|aunt|brother|sister|colleague|landlord|mechanic|wife|husband|son|daughter)|(?:my|his|her|their) name is|my name[’']s|"
-    r"regards|sincerely|me llamo|mi nombre es|je m[’']appelle|mon nom est|ich hei(?:ß|ss)e|mein name ist|mi chiamo|meu nome é|меня зовут|signed|attn|c/o|contact|mrs?\.?|ms\.?|dr\.?|prof\.?))"
-    r"|(?:I am|i am|I['’]m|i['’]m|soy|Soy|je suis|Je suis|ich bin|Ich bin))[,:]?\s+(?=[^\W\d_])"
+    r"(?<![\w'’])(?:(?P<strong>(?i:ask|(?:my|our|his|her|their|your) (?:neighbou?r|dentist|doctor|teacher|boss|friend|cousin|uncle|aunt|brother|sister|colleague|landlord|mechanic|wife|husband|son|daughter|coach|nurse|lawyer|manager|student|tutor|partner|roommate|classmate)|(?:my|his|her|their|whose) name is|my name[’']s|"
+    r"regards|sincerely|cheers|yours|me llamo|mi nombre es|je m[’']appelle|mon nom est|ich hei(?:ß|ss)e|mein name ist|mi chiamo|meu nome é|меня зовут|signed|attn|c/o|contact|mrs?\.?|ms\.?|dr\.?|prof\.?|hola,? soy))"
+    r"|(?P<weak>(?i:hello to|greetings to|shout ?-?out to|hi to|credits? (?:goes |go )?to|credits?|thanks to|thank you|thanks|is that|was that|isn't that|hey|hi|hello|dear|love to|named|called|met|"
+    r"(?:bought|got|ordered|learned|heard|borrowed|have|had|had|one|it|this|mine|these|them) (?:it |this |mine |one |these |them |that )?(?:from|off|by)|(?:written|made|built|filmed|painted|taught|signed|sold|sent|played|designed|restored|composed|edited|read) by|with|by)"
+    r"|(?P<am>I am|i am|I['’]m|i['’]m|soy|Soy|je suis|Je suis|ich bin|Ich bin|this is|This is)))[,:]?\s+(?=[^\W\d_])"
+)
+# A name at the beginning of a sentence, by what follows it; in parentheses; and as the last line.
+_OPENING = re.compile(r"(?:^|[.!?…\n])\s*(?=[^\W\d_])")
+_SPEAKS = re.compile(r"\s(?:here\b[,.!]?|says\b|said\b|told\b|taught\b|from \w+ here|speaking\b|wrote\b|built\b|knows?\b|lives?\b|sold\b|owes?\b)", re.I)
+_ENCLOSED = re.compile(r"(?:\((?=[^\W\d_])|(?:^|\n|[.!?]\s)\s*[-–—~]\s?(?=[^\W\d_]))")
+_FOLLOWED = re.compile(
+    r"(?:[,)]|\s*(?:here|says|about it|has the|said|behind|last (?:year|week|month|summer)|for me|for us|not to you|y vivo|lives|built|knows|told|will|works|sold|from|in [A-Z]|IN|if|who|and (?:he|she|they)|gave|showed|taught|made|next door|at the|$))", re.I
 )
 _CJK_NAME = re.compile(r"(?:我叫|我的名字[是叫]|名前は|名は)\s*(?P<name>[\u4e00-\u9fff]{2,4})(?=です|と申|[^\u3040-\u30ff\u4e00-\u9fff]|$)")
 _PARTICLE = re.compile(r"(?:van(?: de[rn]?)?|von(?: de[rmn])?|de la|de las|de los|di|da|dos|das|bin|ibn|al|el|ter|ten) ")
@@ -270,34 +290,92 @@ def _given(word: str) -> bool:
     return parts[0] in GIVEN_NAMES and (len(parts) == 1 or all(p[:1].isupper() for p in word.split("-")))
 
 
-def _introduced(text: str) -> Iterator[tuple[int, int, float]]:
-    """Two to four capitalised words of any script behind words that introduce a person."""
-    for m in _INTRODUCED.finditer(text):
-        at, end, names, shape = m.end(), m.end(), 0, None
-        while names < 4 and (word := _WORD.match(text, at)):
-            found = _shape(word[0])
-            initial = len(word[0]) == 1 and word[0].isupper() and names == 1
-            if not initial:
-                low = word[0].lower()
-                if found not in ("title", "upper") or low in _NOT_FAMILY or low in _SALUTE or len(low) < 2:
-                    break
-                if low in _THING:
-                    names = 0
-                    break
-                names, end, shape = names + 1, word.end(), shape or found
-            at = word.end() + (initial and text[word.end() : word.end() + 1] == ".")
-            if text[at : at + 1] not in (" ", "\xa0"):
+@lru_cache(4)
+def _common_words(path: str) -> frozenset[str]:
+    """Words in small letters that are single tokens of a public byte-level vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        return frozenset(t[1:] for t in json.load(f)["model"]["vocab"] if t[0] == "\u0120" and len(t) > 2 and t[1:].isalpha() and t[1:].islower())
+
+
+def _name_at(text: str, at: int) -> tuple[int, list[str], str, bool] | None:
+    """(end, words, shape, whether the family comes first) of two to four words that may be a person's name; particles and initials aside."""
+    words: list[str] = []
+    end, shape, comma = at, None, False
+    while len(words) < 4 and (word := _WORD.match(text, at)):
+        found, low = _shape(word[0]), word[0].lower()
+        if not (len(word[0]) == 1 and word[0].isupper() and len(words) == 1):  # an initial
+            if found == "other" or low in _NOT_FAMILY or low in _SALUTE or len(low) < 2:
+                break
+            if shape is not None and found != shape and (shape, found) != ("title", "upper"):
                 break
-            at += 1
-            if particle := _PARTICLE.match(text, at):
-                at = particle.end()
-        if names < 2 or text[end : end + 1] in ("@", "_") or shape == "upper" and m[0].isupper():
+            if low in _THING:
+                return None
+            words.append(word[0])
+            shape, end = shape or found, word.end()
+            if shape != "title" and len(words) == 2:
+                break
+        at = word.end() + (len(word[0]) == 1 and text[word.end() : word.end() + 1] == ".")
+        if len(words) == 1 and text[at : at + 2] == ", " and not comma:
+            comma, at = True, at + 2
             continue
-        yield m.end(), end, {"title": 1.0, "upper": 0.5}[shape] + (1.5 if m["strong"] else 0.5) + 1.0 * bool(_NAME_AFTER.search(text[end : end + NEAR]))
+        if text[at : at + 1] not in (" ", "\xa0") or comma:
+            break
+        at += 1
+        if particle := _PARTICLE.match(text, at):
+            at = particle.end()
+    if len(words) < 2 or text[end : end + 1] in ("@", "_"):
+        return None
+    return end, words, shape, comma
+
+
+def _evident(text: str, common: frozenset[str]) -> Iterator[tuple[int, int, float]]:
+    """Names whatever they are, from what stands around them and from their words being rare.
+
+    The words around a name, its shape and its rarity each add to its score; a
+    name in small or capital letters throughout needs them all.
+    """
+
+    def rate(at: int, context: float, alone: bool = False, strong: bool = False) -> tuple[int, int, float] | None:
+        name = _name_at(text, at)
+        if name is None:
+            return None
+        end, words, shape, comma = name
+        given, family = (words[1], words[0]) if comma else (words[0], words[-1])
+        given, family = given.lower().split("-")[0], family.lower()
+        rare = given not in common and given not in _COMMON_FAMILY or given in GIVEN_NAMES
+        whole = rare and (family not in common or family in _COMMON_FAMILY)
+        if not whole and not (strong and shape == "title" and not comma):
+            return None
+        after = bool(_FOLLOWED.match(text, end)) and not alone
+        if comma and not (strong or alone or after):
+            return None
+        score = {"title": 1.0, "upper": 0.5, "lower": 0.0}[shape] + context + 1.0 * after + 0.5 * rare
+        if shape == "lower" and not (after and (strong or context >= 1.0)):
+            return None
+        return at, end, score
+
+    for m in _INTRODUCED.finditer(text):
+        strong = m["strong"] is not None
+        if found := rate(m.end(), 1.5 if strong else 0.25 if m["am"] else 0.5, strong=strong):
+            yield found
+    for m in _OPENING.finditer(text):
+        name = _name_at(text, m.end())
+        if name and _SPEAKS.match(text, name[0]) and (found := rate(m.end(), 0.5)):
+            yield found
+    for m in _ENCLOSED.finditer(text):
+        name = _name_at(text, m.end())
+        if name and name[2] != "lower" and (text[name[0] : name[0] + 1] == ")" or text[m.end() - 1] != "(" and not text[name[0] :].strip()) and (found := rate(m.end(), 1.0)):
+            yield found
+    if len(text) < 60 and (m := _LEADING.match(text)) and (name := _name_at(text, m.end())) and not text[name[0] :].strip(" .\u200b"):
+        if name[2] == "title" and (found := rate(m.end(), 0.5, alone=True)):
+            yield found
     for m in _CJK_NAME.finditer(text):
         yield m.start("name"), m.end("name"), 2.5
 
 
+_LEADING = re.compile(r"[\s\u200b]*(?=[^\W\d_])")
+
+
 def _shape(word: str) -> str:
     if word.isupper() and len(word) > 1:
         return "upper"
@@ -353,7 +431,7 @@ def _reversed_score(text: str, start: int, end: int, family: str, given: str, wo
     return score
 
 
-def find_spans(text: str | None) -> list[tuple[int, int, str]]:
+def find_spans(text: str | None, vocabulary: str = VOCABULARY) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the items of personal information in a text, in order and without overlap.
 
     Kinds are looked for in the order of KINDS; what an item covers is no
@@ -380,20 +458,20 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     elif _PHONE_WORDS.search(text):
         take("phone", _phones(text))
     known = any(not GIVEN_NAMES.isdisjoint(w.split("-")) for w in _WORD.findall(text.lower()))
-    take("person_name", chain(_names(text) if known else (), _introduced(text)))
+    take("person_name", chain(_names(text) if known else (), _evident(text, _common_words(vocabulary))))
     return taken
 
 
-def redact_text(text: str | None) -> str | None:
+def redact_text(text: str | None, vocabulary: str = VOCABULARY) -> str | None:
     """The text with each item replaced by the placeholder of its kind."""
     out, at = [], 0
-    for a, b, kind in find_spans(text):
+    for a, b, kind in find_spans(text, vocabulary):
         out += [text[at:a], PLACEHOLDERS[kind]]
         at = b
     return text if not out else "".join([*out, text[at:]])
 
 
-def find_personal_information(df: DataFrame, *, key: str, fields: Sequence[str]) -> DataFrame:
+def find_personal_information(df: DataFrame, *, key: str, fields: Sequence[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """Every item of personal information: ``key``, field, kind, start_char.
 
     start_char is the place (code points) of the item's first letter or digit.
@@ -414,18 +492,18 @@ def find_personal_information(df: DataFrame, *, key: str, fields: Sequence[str])
             rows = []
             for field in fields:
                 for k, text in zip(pdf[key], pdf[field]):
-                    for a, b, what in find_spans(text):
+                    for a, b, what in find_spans(text, vocabulary):
                         rows.append((k, field, what, _LETTER.search(text, a).start()))
             yield pd.DataFrame(rows, columns=[key, "field", "kind", "start_char"])
 
     return df.select(key, *fields).mapInPandas(run, f"`{key}` {kind}, field string, kind string, start_char int")
 
 
-def redact(df: DataFrame, *, key: str, fields: Sequence[str]) -> DataFrame:
+def redact(df: DataFrame, *, key: str, fields: Sequence[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """``key`` and the fields with each item replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME]; null stays null."""
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
-        return texts.map(redact_text, na_action="ignore")
+        return texts.map(lambda t: redact_text(t, vocabulary), na_action="ignore")
 
     return df.select(key, *(cleaned(f).alias(f) for f in fields))
