@@ -139,11 +139,15 @@ def _with_blocks(rows: DataFrame, hot: DataFrame | None, valid: str) -> DataFram
     return marked.withColumn("block", F.when(F.col("__hot"), F.floor(F.col(valid) / F.lit(width))).otherwise(0).cast("long")).drop("__hot")
 
 
-def _hot(rows: DataFrame, hot_rows: int) -> DataFrame | None:
-    hot = hot_keys(rows, ["entity", "entity_id"], hot_rows)
+def hot_entities(observations: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The entities with more than ``hot_rows`` rows, or null if there are none; counted with map-side combining."""
+    hot = hot_keys(observations.select("entity", "entity_id"), ["entity", "entity_id"], hot_rows)
     return None if hot.isEmpty() else hot
 
 
+_COUNT = "count"
+
+
 def bitemporal_ledger(
     observations: DataFrame,
     *,
@@ -151,6 +155,7 @@ def bitemporal_ledger(
     valid_at: str = "valid_at",
     seen_at: str = "seen_at",
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None | str = _COUNT,
 ) -> DataFrame:
     """Every statement ever recorded about an entity, with both its periods.
 
@@ -173,12 +178,13 @@ def bitemporal_ledger(
 
     Cost: one shuffle by entity; the sweep streams sorted rows and holds no
     entity in memory. An entity with more than ``hot_rows`` rows is swept in
-    blocks of valid time, each given the stairs of all later blocks.
+    blocks of valid time, each given the stairs of all later blocks. Give ``hot``
+    (hot_entities of the observations) where they are counted already.
     """
     rows = observations.select(
         "entity", "entity_id", _micros(valid_at).alias("valid_at"), F.coalesce(_micros(seen_at), F.lit(-(2**62))).alias("seen_at"), *values
     ).filter(F.col("entity_id").isNotNull() & F.col("valid_at").isNotNull())
-    hot = _hot(rows, hot_rows)
+    hot = hot_entities(rows, hot_rows) if isinstance(hot, str) else hot
     order = [*_KEY, F.col("valid_at").desc(), F.col("seen_at").desc(), F.col("boundary").desc(), *(F.col(v).desc_nulls_last() for v in values)]
     blocks = _with_blocks(rows, hot, "valid_at").withColumn("boundary", F.lit(False))
     if hot is not None:
@@ -194,7 +200,7 @@ def bitemporal_ledger(
     return swept.select("entity", "entity_id", *values, *(_instant(n) for n in ("valid_from", "valid_to", "recorded_from", "recorded_to")))
 
 
-def versions(ledger: DataFrame, *, values: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def versions(ledger: DataFrame, *, values: Sequence[str], hot_rows: int = HOT_ROWS, hot: DataFrame | None | str = _COUNT) -> DataFrame:
     """The versions of each entity as believed now.
 
     Takes the still believed rows of a ledger. A missing (null) value leaves the
@@ -204,9 +210,11 @@ def versions(ledger: DataFrame, *, values: Sequence[str], hot_rows: int = HOT_RO
 
     An entity with more than ``hot_rows`` readings is worked in blocks of valid
     time; what carries over from block to block is joined, one row per block.
+    ``hot``: hot_entities of the observations (no fewer than those of the
+    ledger), so that the ledger isn't swept once more to count them.
     """
     now = ledger.filter(F.col("recorded_to").isNull()).select("entity", "entity_id", _micros("valid_from").alias("at"), *values)
-    hot = _hot(now, hot_rows)
+    hot = hot_entities(now, hot_rows) if isinstance(hot, str) else hot
     now = _with_blocks(now, hot, "at")
     order = Window.partitionBy(*_KEY).orderBy("at")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators.ledger import bitemporal_ledger, clean_count, clean_title, versions
+from loomspan.operators.ledger import bitemporal_ledger, clean_count, clean_title, hot_entities, versions
 from loomspan.operators.snapshots import snapshot_changes
 from loomspan.sources.tables import table
 
 _TIME = "yyyy-MM-dd HH:mm:ss"
 
 
-def _channel_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    seen = table(spark, folder, "channels").select(
+def _channels(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "channels").select(
         F.lit("channel").alias("entity"),
         F.col("channel_id").alias("entity_id"),
         F.col("last_updated").alias("valid_at"),
         F.col("received_at").alias("seen_at"),
         clean_count(F.col("subscriber_count")).alias("subscriber_count"),
     )
-    return bitemporal_ledger(seen, values=["subscriber_count"])
 
 
-def _video_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    seen = table(spark, folder, "video_updates").select(
+def _videos(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "video_updates").select(
         F.lit("video").alias("entity"),
         F.col("video_id").alias("entity_id"),
         F.col("last_updated").alias("valid_at"),
@@ -32,15 +31,14 @@ def _video_ledger(spark: SparkSession, folder: str) -> DataFrame:
         clean_title(F.col("title")).alias("title"),
         clean_count(F.col("view_count")).alias("view_count"),
     )
-    return bitemporal_ledger(seen, values=["title", "view_count"])
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every version of a channel's subscriber count and of a video's title and views."""
-    parts = [
-        versions(_channel_ledger(spark, folder), values=["subscriber_count"]),
-        versions(_video_ledger(spark, folder), values=["title", "view_count"]),
-    ]
+    parts = []
+    for seen, values in ((_channels(spark, folder), ["subscriber_count"]), (_videos(spark, folder), ["title", "view_count"])):
+        hot = hot_entities(seen)
+        parts.append(versions(bitemporal_ledger(seen, values=values, hot=hot), values=values, hot=hot))
     return parts[0].unionByName(parts[1], allowMissingColumns=True).select(
         "entity",
         "entity_id",
@@ -51,7 +49,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """The whole bitemporal ledger: superseded statements with the time they were believed."""
-    parts = [_channel_ledger(spark, folder), _video_ledger(spark, folder)]
+    parts = [bitemporal_ledger(_channels(spark, folder), values=["subscriber_count"]), bitemporal_ledger(_videos(spark, folder), values=["title", "view_count"])]
     return parts[0].unionByName(parts[1], allowMissingColumns=True).select(
         "entity", "entity_id", "subscriber_count", "view_count", "title", "valid_from", "valid_to", "recorded_from", "recorded_to"
     )
@@ -96,6 +94,28 @@ begun AS (SELECT * FROM marked WHERE n = 1 OR c IS DISTINCT FROM c0 OR title IS
 SELECT entity, entity_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS valid_from,
   coalesce(strftime(lead(t) OVER (PARTITION BY entity, entity_id ORDER BY t), '%Y-%m-%d %H:%M:%S'), 'open') AS valid_to
 FROM begun""",
+    "p3_ledger": f"""
+WITH {_OBSERVED},
+one AS (
+  SELECT entity, entity_id, t, coalesce(r, TIMESTAMP '-infinity') AS r, c, title FROM clean
+  QUALIFY row_number() OVER (PARTITION BY entity, entity_id, t, r ORDER BY title DESC NULLS LAST, c DESC NULLS LAST) = 1),
+own AS (SELECT *, lead(r) OVER (PARTITION BY entity, entity_id, t ORDER BY r) AS gone FROM one),
+cuts AS (  -- the times from which something received later bounds the statement anew
+  SELECT entity, entity_id, t, r, gone, c, title, r AS begun FROM own
+  UNION SELECT o.entity, o.entity_id, o.t, o.r, o.gone, o.c, o.title, l.r
+  FROM own o JOIN one l ON l.entity = o.entity AND l.entity_id = o.entity_id AND l.t > o.t AND l.r > o.r AND (o.gone IS NULL OR l.r < o.gone)),
+bounds AS (
+  SELECT k.entity, k.entity_id, k.t, k.r, k.gone, k.c, k.title, k.begun, min(l.t) AS valid_to
+  FROM cuts k LEFT JOIN one l ON l.entity = k.entity AND l.entity_id = k.entity_id AND l.t > k.t AND l.r <= k.begun
+  GROUP BY ALL),
+runs AS (
+  SELECT * FROM bounds
+  QUALIFY valid_to IS DISTINCT FROM lag(valid_to) OVER (PARTITION BY entity, entity_id, t, r ORDER BY begun)
+    OR row_number() OVER (PARTITION BY entity, entity_id, t, r ORDER BY begun) = 1)
+SELECT entity, entity_id, CASE WHEN entity = 'channel' THEN c END AS subscriber_count, CASE WHEN entity = 'video' THEN c END AS view_count,
+  title, t AS valid_from, valid_to, begun AS recorded_from,
+  coalesce(lead(begun) OVER (PARTITION BY entity, entity_id, t, r ORDER BY begun), gone) AS recorded_to
+FROM runs""",
     "p6_found": """
 WITH d AS (SELECT snapshot_date AS s, row_number() OVER (ORDER BY snapshot_date) AS i, lead(snapshot_date) OVER (ORDER BY snapshot_date) AS nxt
   FROM (SELECT DISTINCT snapshot_date FROM playlists WHERE snapshot_date IS NOT NULL)),
