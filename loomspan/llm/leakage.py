@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.session import materialize
+
 #: Words of a passage that counts.
 SPAN = 12
 #: Words of a fingerprinted gram; the window follows, so that every shared span holds a shared fingerprint.
 GRAM = 8
-#: Fingerprints of the evaluation side that are broadcast (8 bytes each); beyond, all fingerprints are joined by shuffle.
+#: Fingerprints of the evaluation side that are broadcast (8 bytes each); beyond, they are broadcast in slices.
 BROADCAST_FINGERPRINTS = 4_000_000
 
 _HIDDEN = regex.compile(r"[\p{M}\p{Cf}]+")
@@ -133,9 +136,9 @@ def leaked_spans(documents: DataFrame, items: DataFrame, *, span: int = SPAN, gr
     Null ids or texts, empty texts and texts of fewer words give nothing;
     repeated documents are each reported; other columns are ignored.
 
-    The corpus is read once and only hits leave the scan's stage. For that the
-    evaluation side's fingerprints are broadcast, if they are at most
-    BROADCAST_FINGERPRINTS; if not, all fingerprints are joined.
+    The corpus is only scanned, never shuffled, and only hits leave the scan. For
+    that the evaluation side's fingerprints are broadcast; if they are more than
+    BROADCAST_FINGERPRINTS, in slices of about half as many, with a scan for each.
     """
     spark = documents.sparkSession
     schema = "id long, fp long, pos int, context binary"
@@ -145,11 +148,21 @@ def leaked_spans(documents: DataFrame, items: DataFrame, *, span: int = SPAN, gr
         return texts.mapInPandas(_fingerprint(only, gram, span, outside), schema)
 
     test = prints(items, "item_id", None, 1).select(F.col("id").alias("item_id"), "fp", F.col("pos").alias("i_pos"), F.col("context").alias("i_context"))
-    some = test.select("fp").distinct().limit(BROADCAST_FINGERPRINTS + 1).toPandas()["fp"].to_numpy(np.int64)
-    only = None
+    different = test.select("fp").distinct()
+    some = different.limit(BROADCAST_FINGERPRINTS + 1).toPandas()["fp"].to_numpy(np.int64)
     if len(some) <= BROADCAST_FINGERPRINTS:
-        only = spark.sparkContext.broadcast(np.sort(some.view(np.uint64)).tobytes())
-    hits = prints(documents, "doc_id", only, 2).withColumnRenamed("id", "doc_id").join(test, "fp")
+        hits = prints(documents, "doc_id", spark.sparkContext.broadcast(np.sort(some.view(np.uint64)).tobytes()), 2)
+    else:
+        test = materialize(test)
+        different = materialize(test.select("fp").distinct())
+        slices, found = -(-2 * different.count() // max(BROADCAST_FINGERPRINTS, 256)), []
+        for k in range(slices):
+            some = different.filter(F.pmod("fp", F.lit(slices)) == k).toPandas()["fp"].to_numpy(np.int64)
+            only = spark.sparkContext.broadcast(np.sort(some.view(np.uint64)).tobytes())
+            found.append(materialize(prints(documents, "doc_id", only, 2)))
+            only.destroy()
+        hits = reduce(DataFrame.unionByName, found)
+    hits = hits.withColumnRenamed("id", "doc_id").join(test, "fp")
     hits = hits.withColumn("e", _extension(gram, span)("context", "i_context")).filter(F.col("e.left") + F.col("e.right") >= span)
     ends = hits.select(
         "doc_id", "item_id", (F.col("pos") - F.col("i_pos")).alias("shift"), (F.col("pos") - F.col("e.left")).alias("begin"), (F.col("pos") + F.col("e.right")).alias("end")
