@@ -16,6 +16,8 @@ from loomspan.session import materialize
 
 #: Longer documents (characters) are worked in pieces of this size.
 PIECE = 1 << 18
+#: Characters before a piece, and behind it, that its tokens may look at.
+LEFT, RIGHT = 64, 4096
 
 # Words that take a period and go on, whatever follows.
 _GOES_ON = frozenset(
@@ -170,6 +172,7 @@ _RULES = _Compiled()
 def _symbols(text: str, begin: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
     """(symbol, place just behind the token) of the tokens that begin in text[begin:end]."""
     symbols, size = _RULES.symbols, len(text)
+    tokens = _Tokens(text, max(0, begin - LEFT))
     for m in _TOKEN.finditer(text, begin):
         if end is not None and m.start() >= end:
             return
@@ -205,7 +208,7 @@ def _symbols(text: str, begin: int = 0, end: int | None = None) -> Iterator[tupl
         if strong:
             plain, mid, start = True, nxt in "UDS", True
         elif not space:
-            word = ender in (".", "!", "?") and nxt == "U" and not close and text[at].isupper() and _glued(text, m.start(), at)
+            word = ender in (".", "!", "?") and nxt == "U" and not close and text[at].isupper() and _glued(text, m.start(), at, tokens)
             plain, mid, start = word, False, nxt in "CD" and bool(close)
         else:
             plain = nxt in "UCDS" and (ender != "." or _period_ends(text, m.start(), nxt, at))
@@ -215,13 +218,30 @@ def _symbols(text: str, begin: int = 0, end: int | None = None) -> Iterator[tupl
         yield _end_symbol(close, plain, mid, start, opener, False), at
 
 
-def _glued(text: str, at: int, after: int) -> bool:
+_ADDRESS_OR_SPACE = regex.compile(r"[\s/@.]")
+_WHOLE_RIGHT = regex.compile(r"\S{0,4000}")
+
+
+class _Tokens:
+    """Whether what stands before a place, back to the last white space, looks like an address; each character is looked at once."""
+
+    __slots__ = ("text", "seen", "address")
+
+    def __init__(self, text: str, begin: int) -> None:
+        self.text, self.seen, self.address = text, begin, False
+
+    def address_before(self, at: int) -> bool:
+        for m in _ADDRESS_OR_SPACE.finditer(self.text, self.seen, at):
+            self.address = not m[0].isspace()
+        self.seen = max(self.seen, at)
+        return self.address
+
+
+def _glued(text: str, at: int, after: int, tokens: _Tokens) -> bool:
     """A sentence that follows without a space: small letters, the mark, a capitalised word, and no address around it."""
-    left = regex.search(r"\S*$", text[max(0, at - 40) : at])[0]
-    right = regex.match(r"\S*", text[after : after + 40])[0]
-    if "/" in left or "@" in left or "." in left or not regex.search(r"\p{Ll}{2}$|[\p{Ll}]\p{Cf}*\p{Ll}$", left):
+    if tokens.address_before(at) or not regex.search(r"\p{Ll}{2}$|[\p{Ll}]\p{Cf}*\p{Ll}$", text[max(0, at - 40) : at]):
         return False
-    return bool(regex.match(r"\p{Lu}(?:\p{L}*[,;:!?’'”\"]?|\p{L}+[-’'.]\S*)$", right))
+    return bool(regex.match(r"\p{Lu}(?:\p{L}*[,;:!?’’\"”]?|\p{L}+[-’'.]\S*)$", _WHOLE_RIGHT.match(text, after)[0]))
 
 
 def _end_symbol(close: str, plain: bool, mid: bool, start: bool, opener: bool, reset: bool) -> int:
@@ -255,10 +275,15 @@ def sentence_starts(text: str | None) -> list[int]:
     return sorted(set(found))
 
 
+_AFTER_SPACE = regex.compile(r"\s(?=[^\W_])")
+
+
 def _cuts(text: str, piece: int) -> list[int]:
-    """Places to cut a long text, inside no token: before a letter or digit that follows a space, letter or digit."""
+    """Places to cut a long text, inside no token: before a letter or digit that follows a space; where there is none for long, one that follows a letter or digit."""
     cuts, at = [0], piece
     while at < len(text):
+        if m := _AFTER_SPACE.search(text, at, at + RIGHT):
+            at = m.end()
         while at < len(text) and not (text[at].isalnum() and (text[at - 1].isspace() or text[at - 1].isalnum())):
             at += 1
         if at < len(text):
@@ -275,8 +300,8 @@ def _pieces(piece: int):
             for doc, key, text in zip(pdf["doc"], pdf["id"], pdf["text"]):
                 cuts = _cuts(text, piece)
                 for n, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(text)])):
-                    left = max(0, a - 64)
-                    yield pd.DataFrame({"doc": [doc], "id": [key], "piece": [n], "left": [left], "begin": [a - left], "end": [b - left], "last": [b == len(text)], "text": [text[left : b + 4096]]})
+                    left = max(0, a - LEFT)
+                    yield pd.DataFrame({"doc": [doc], "id": [key], "piece": [n], "left": [left], "begin": [a - left], "end": [b - left], "last": [b == len(text)], "text": [text[left : b + RIGHT]]})
 
     return run
 

@@ -49,3 +49,9 @@ def test_pieces_agree_with_whole_texts(spark):
     units = sentence_units(df.filter("doc_id = 104")).collect()
     assert [(u.sentence_no, u.start_char, u.sentence) for u in units] == [(0, 0, "A bee."), (1, 7, "C dog.")]
     assert sentences(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("length", [3, 39, 41, 60, 500])
+def test_paths_of_any_length_are_no_sentences(length):
+    assert sentence_starts("See /docs/" + "a" * length + ".Page for it") == [0]
+    assert sentence_starts("word " * 20 + "ended" + "e" * length + ".Then more") == [0, 106 + length]
