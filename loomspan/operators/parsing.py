@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from loomspan.functions.text import let, strip
 
@@ -20,33 +24,84 @@ FIELDS = {
 }
 
 
-def _header(line: Column) -> Column:
+_FENCED = re.compile(r"^===\s*(.+?)\s*===$", re.A)
+_MARKED = re.compile(r"^#{2,6}\s*([A-Z][A-Z_ ]*?)\s*:?$", re.A)
+_NAMED = re.compile(r"^([A-Z][A-Z_ ]*?):$", re.A)
+_ROW = "array<struct<{}>>"
+_EXTRACTION = "formats array<string>, episode struct<series:string,episode:string>, " + ", ".join(
+    f"{name.lower()} " + _ROW.format(",".join(f"{f}:string" for f in fields)) for name, fields in FIELDS.items()
+)
+
+
+def _header(line: str) -> str | None:
     """The section a line opens, null if it opens none."""
-    fenced = F.regexp_extract(line, r"^===\s*(.+?)\s*===$", 1)
-    other = F.coalesce(F.nullif(F.regexp_extract(line, r"^#{2,6}\s*([A-Z][A-Z_ ]*?)\s*:?$", 1), F.lit("")), F.regexp_extract(line, r"^([A-Z][A-Z_ ]*?):$", 1))
-    name = lambda c: F.replace(F.upper(strip(c)), F.lit(" "), F.lit("_"))
-    return F.when(fenced != "", name(fenced)).when(name(other).isin(*SECTIONS), name(other))
+    if m := _FENCED.match(line):
+        return m[1].strip().upper().replace(" ", "_")
+    if m := _MARKED.match(line) or _NAMED.match(line):
+        name = m[1].strip().upper().replace(" ", "_")
+        return name if name in SECTIONS else None
+    return None
+
+
+def split_sections(text: str | None) -> dict[str, str] | None:
+    """Section to its text, in one pass over the lines; null for null. See sections()."""
+    if text is None:
+        return None
+    found: dict[str, list[str]] = {}
+    body: list[str] | None = None
+    for line in re.split("\r?\n", text):
+        bare = line.strip()
+        if bare.startswith("```"):
+            continue
+        if name := _header(bare):
+            found.pop(name, None)
+            body = found[name] = []
+        elif body is not None:
+            body.append(line)
+    return {name: "\n".join(lines).strip() for name, lines in found.items()}
+
+
+def _rows(text: str | None, fields: Sequence[str]) -> list[dict[str, str]]:
+    parts = ([p.strip() for p in line.split(" | ")] for line in map(str.strip, (text or "").split("\n")) if line)
+    return [{f: p[n] if n < len(p) else "" for n, f in enumerate(fields)} for p in parts]
+
+
+def extract(text: str | None) -> dict | None:
+    """The typed result of a text of seven sections; null for null. See extraction()."""
+    s = split_sections(text)
+    if s is None:
+        return None
+    out: dict = {name.lower(): _rows(s.get(name), fields) for name, fields in FIELDS.items()}
+    for e in out["entities"]:
+        e["category"] = e["category"].strip(" |")
+    for r in out["sources"]:
+        r["url"] = None if r["url"].lower() in ("", "none") else r["url"]
+    out["sources"] = [r for r in out["sources"] if r["description"].lower() not in ("none", "n/a", "-")]
+    episode = s.get("EPISODE", "").strip()
+    parts = [p.strip() for p in episode.split(" | ")]
+    named = parts[0] != "" and episode.lower() != "none"
+    return {"formats": [x.strip().lower() for x in s.get("FORMAT", "").split("\n") if x.strip()], "episode": {"series": parts[0], "episode": parts[1] if len(parts) > 1 else None} if named else None, **out}
+
+
+def _parser(parse: Callable[[str | None], object], kind: str) -> Callable[[Column], Column]:
+    """A column function that parses each text once in Arrow batches.
+
+    It counts as nondeterministic, so that Spark doesn't evaluate it again for a
+    filter that it pushes below.
+    """
+
+    arrow = to_arrow_type(DataType.fromDDL(kind))
+
+    @F.arrow_udf(kind)
+    def parsed(texts: pa.Array) -> pa.Array:
+        return pa.array([parse(t) for t in texts.to_pylist()], arrow)
+
+    return parsed.asNondeterministic()
 
 
 def sections(text: Column) -> Column:
     """A map from section to its text. Code fences are skipped, text before the first header is dropped, of sections with the same name the last holds."""
-    kind = "array<struct<name:string,body:array<string>>>"
-    lines = F.filter(F.split(text, "\r?\n", -1), lambda x: ~strip(x).startswith("```"))
-
-    def step(done: Column, line: Column) -> Column:
-        return let(_header(strip(line)), lambda name: grow(done, line, name))
-
-    def grow(done: Column, line: Column, name: Column) -> Column:
-        begun = F.concat(done, F.array(F.struct(name.alias("name"), F.array().cast("array<string>").alias("body"))))
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["name"].alias("name"), F.concat(last["body"], F.array(line)).alias("body"))))
-        return F.when(name.isNotNull(), begun).when(F.size(done) == 0, done).otherwise(grown)
-
-    def mapped(found: Column) -> Column:
-        last = F.filter(found, lambda s, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda later: later["name"] == s["name"]))
-        return F.map_from_entries(F.transform(last, lambda s: F.struct(s["name"], strip(F.array_join(s["body"], "\n")))))
-
-    return let(F.aggregate(lines, F.array().cast(kind), step), mapped)
+    return _parser(lambda t: s if (s := split_sections(t)) is None else list(s.items()), "map<string,string>")(text)
 
 
 def text_lines(text: Column) -> Column:
@@ -68,23 +123,7 @@ def prefixed(text: Column) -> Column:
 
 def extraction(text: Column) -> Column:
     """The typed result of a text of seven sections."""
-    return let(sections(text), _assembled)
-
-
-def _assembled(s: Column) -> Column:
-    part = lambda n: F.try_element_at(s, F.lit(n))
-    episode = F.split(strip(F.coalesce(part("EPISODE"), F.lit(""))), r" \| ", -1)
-    named = (F.get(episode, 0) != "") & (F.lower(strip(part("EPISODE"))) != "none")
-    sources = F.transform(pipe_rows(part("SOURCES"), FIELDS["SOURCES"]), lambda r: r.withField("url", F.when(F.lower(r["url"]).isin("", "none"), None).otherwise(r["url"])))
-    return F.struct(
-        F.transform(text_lines(part("FORMAT")), F.lower).alias("formats"),
-        F.when(named, F.struct(strip(F.get(episode, 0)).alias("series"), strip(F.get(episode, 1)).alias("episode"))).alias("episode"),
-        pipe_rows(part("SPEAKERS"), FIELDS["SPEAKERS"]).alias("speakers"),
-        F.transform(pipe_rows(part("ENTITIES"), FIELDS["ENTITIES"]), lambda e: e.withField("category", F.regexp_replace(e["category"], r"^[ |]+|[ |]+$", ""))).alias("entities"),
-        pipe_rows(part("CONCEPTS"), FIELDS["CONCEPTS"]).alias("concepts"),
-        pipe_rows(part("RELATIONSHIPS"), FIELDS["RELATIONSHIPS"]).alias("relationships"),
-        F.filter(sources, lambda r: ~F.lower(r["description"]).isin("none", "n/a", "-")).alias("sources"),
-    )
+    return _parser(extract, f"struct<{_EXTRACTION.replace(' ', ':').replace(',:', ',')}>")(text)
 
 
 def traced(formats: Column, sources: Column) -> Column:

@@ -28,7 +28,7 @@ def _parsed(spark: SparkSession, folder: str) -> DataFrame:
 
 def section_parse(spark: SparkSession, folder: str) -> DataFrame:
     """The sections of each text."""
-    return _parts(spark, folder).select("p_partkey", F.explode(P.sections(F.col("text"))).alias("section", "body"))
+    return _parts(spark, folder).select("p_partkey", P.sections(F.col("text")).alias("s")).select("p_partkey", F.explode("s").alias("section", "body"))
 
 
 def pipe_rows(spark: SparkSession, folder: str) -> DataFrame:
