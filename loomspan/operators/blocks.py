@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as X
+from loomspan.session import materialize
 
 #: Videos of a channel from which on a block is boilerplate.
 REPEATED = 3
@@ -27,16 +28,13 @@ def _opened(lines: Column) -> Column:
 
 def _sections(lines: Column) -> Column:
     """Runs of lines, each with the separator line above it (null for the first)."""
-    kind = "array<struct<sep:string,body:array<string>>>"
-    empty = F.array(F.struct(F.lit(None).cast("string").alias("sep"), F.array().cast("array<string>").alias("body"))).cast(kind)
+    at = F.array_compact(F.transform(lines, lambda line, i: F.when((X.strip(line) != "") & X.is_separator(line), i)))
 
-    def step(done: Column, line: Column) -> Column:
-        last = F.element_at(done, -1)
-        begun = F.concat(done, F.array(F.struct(line.alias("sep"), F.array().cast("array<string>").alias("body"))))
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["sep"].alias("sep"), F.concat(last["body"], F.array(line)).alias("body"))))
-        return F.when((X.strip(line) != "") & X.is_separator(line), begun).otherwise(grown)
+    def cut(begins: Column) -> Column:
+        until = lambda k: F.coalesce(F.get(begins, k + 1), F.size(lines))
+        return F.transform(begins, lambda i, k: F.struct(F.when(i >= 0, F.get(lines, i)).alias("sep"), F.slice(lines, i + 2, until(k) - i - 1).alias("body")))
 
-    return F.aggregate(lines, empty, step)
+    return X.let(F.concat(F.array(F.lit(-1)), at), cut)
 
 
 def split_blocks(text: Column) -> Column:
@@ -46,7 +44,7 @@ def split_blocks(text: Column) -> Column:
     most 60 characters above, and more than one or a long line below. Lines of
     hashtags stand apart. The rest is divided at blank lines.
     """
-    return X.let(_sections(X.let(_lines(text), _opened)), _joined)
+    return X.let(X.let(X.let(_lines(text), _opened), _sections), _joined)
 
 
 def _joined(sections: Column) -> Column:
@@ -94,7 +92,7 @@ def strip_boilerplate(videos: DataFrame) -> DataFrame:
     Prose stays, and so do blocks with times. Of adjacent separators the first
     stays, and none at either end. Videos without channel keep all; null stays null.
     """
-    rows = _with_frequency(blocks(videos))
+    rows = _with_frequency(materialize(blocks(videos)))
     b = F.col("block")
     keep = ~X.has_link(b) & ~X.is_hashtags(b) | X.has_line_time(b) | ~F.col("repeated")
     merged = _reassembled(rows.filter(keep))
@@ -104,26 +102,33 @@ def strip_boilerplate(videos: DataFrame) -> DataFrame:
     return videos.select("video_id", "description").join(clean, "video_id", "left").select("video_id", F.when(F.col("description").isNotNull(), F.coalesce("stripped", F.lit(""))).alias("description"))
 
 
-def unique_length(videos: DataFrame) -> DataFrame:
-    """The length of what a description alone says: without separators and without any repeated block."""
-    rows = _with_frequency(blocks(videos)).filter(~F.col("repeated") & ~X.is_separator(F.col("block")))
-    text = F.regexp_replace(F.array_join("kept", "\n"), r"\n+", "\n")
-    sizes = _reassembled(rows).select("video_id", F.length(text).cast("bigint").alias("n"))
+def narrow(videos: DataFrame) -> DataFrame:
+    """Blocks without their text: video_id, channel_id, checksum, whether it is a separator, and its length; written once."""
+    b = F.col("block")
+    return materialize(blocks(videos).select("video_id", "channel_id", "checksum", X.is_separator(b).alias("separator"), F.length(b).cast("bigint").alias("length")))
+
+
+def unique_length(videos: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """The length of what a description alone says: without separators and without any repeated block. ``rows``: narrow(videos), if it is at hand."""
+    own = _with_frequency(narrow(videos) if rows is None else rows).filter(~F.col("repeated") & ~F.col("separator"))
+    sizes = own.groupBy("video_id").agg((F.sum("length") + F.count(F.lit(1)) - 1).alias("n"))  # blocks hold no blank lines; a line feed joins two
     return videos.select("video_id", "channel_id").join(sizes, "video_id", "left").select("video_id", "channel_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("unique_length"))
 
 
-def channel_stats(videos: DataFrame) -> DataFrame:
-    """By channel: videos, rows of the index, checksums, and rows whose checksum is repeated."""
-    per = frequencies(blocks(videos))
+def channel_stats(videos: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """By channel: videos, rows of the index, checksums, and rows whose checksum is repeated. ``rows``: narrow(videos), if it is at hand."""
+    rows = narrow(videos) if rows is None else rows
+    per = frequencies(rows)
     sums = per.groupBy("channel_id").agg(F.sum("videos").alias("rows"), F.count(F.lit(1)).alias("checksums"), F.sum(F.when(F.col("videos") >= REPEATED, F.col("videos")).otherwise(0)).alias("repeated_rows"))
-    counts = index(blocks(videos)).groupBy("channel_id").agg(F.countDistinct("video_id").alias("videos"))
+    counts = rows.filter(F.col("channel_id").isNotNull()).select("channel_id", "video_id").distinct().groupBy("channel_id").agg(F.count(F.lit(1)).alias("videos"))
     return counts.join(sums, "channel_id")
 
 
 def grand_totals(videos: DataFrame) -> DataFrame:
-    """The mean unique length over all videos (channels weighed by their videos) and the share of repeated rows."""
-    lengths = unique_length(videos).filter(F.col("channel_id").isNotNull()).groupBy("channel_id").agg(F.avg("unique_length").alias("mean"), F.count(F.lit(1)).alias("n"))
-    share = channel_stats(videos).agg(F.sum("rows").alias("rows"), F.sum("repeated_rows").alias("repeated_rows"))
+    """The mean unique length over all videos (channels weighed by their videos) and the share of repeated rows. Descriptions are split once."""
+    rows = narrow(videos)
+    lengths = unique_length(videos, rows).filter(F.col("channel_id").isNotNull()).groupBy("channel_id").agg(F.avg("unique_length").alias("mean"), F.count(F.lit(1)).alias("n"))
+    share = channel_stats(videos, rows).agg(F.sum("rows").alias("rows"), F.sum("repeated_rows").alias("repeated_rows"))
     means = lengths.agg(F.sum(F.col("mean") * F.col("n")).alias("w"), F.sum("n").alias("videos"))
     both = means.unionByName(share, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in ("w", "videos", "rows", "repeated_rows")))  # two rows
     return both.select("videos", F.round(F.col("w") / F.col("videos"), 4).alias("mean_unique_length"), F.round(100 * F.col("repeated_rows") / F.col("rows"), 4).alias("boilerplate_percent"))

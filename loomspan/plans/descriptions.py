@@ -40,9 +40,9 @@ def block_grand_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def boilerplate_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    """Channels with the largest share of repeated rows."""
+    """All channels, those with the largest share of repeated rows first."""
     rows = B.channel_stats(_videos(spark, folder)).withColumn("percent", F.round(100 * F.col("repeated_rows") / F.col("rows"), 4))
-    return rows.orderBy(F.col("percent").desc(), "channel_id").limit(20).select("channel_id", "percent")
+    return rows.select("channel_id", "percent").orderBy(F.col("percent").desc(), "channel_id")
 
 
 def strip_boilerplate(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,7 +102,7 @@ ORACLE = {
     "block_channel_stats": f"WITH {_BLOCKS} SELECT * FROM st",
     "block_grand_totals": f"""WITH {_BLOCKS}, m AS (SELECT count(*)::BIGINT AS videos, avg(unique_length) AS mean FROM ul WHERE channel_id IS NOT NULL)
   SELECT videos, round(mean, 4) AS mean_unique_length, (SELECT round(100 * sum(repeated_rows) / sum(rows), 4) FROM st) AS boilerplate_percent FROM m""",
-    "boilerplate_ranking": f"WITH {_BLOCKS} SELECT channel_id, round(100 * repeated_rows / rows, 4) AS percent FROM st ORDER BY percent DESC, channel_id LIMIT 20",
+    "boilerplate_ranking": f"WITH {_BLOCKS} SELECT channel_id, round(100 * repeated_rows / rows, 4) AS percent FROM st ORDER BY percent DESC, channel_id",
     "strip_boilerplate": rf"""WITH {_BLOCKS}, k AS (SELECT * FROM bf WHERE NOT regexp_matches(block, 'https?://|@[\p{{L}}\p{{N}}_]') AND NOT {_HASH("block")} OR regexp_matches(block, '(?:^|\n)\d{{1,2}}:\d{{2}}') OR NOT repeated),
   o AS (SELECT * FROM k QUALIFY NOT ({_SEP("block")} AND coalesce({_SEP("lag(block) OVER (PARTITION BY video_id ORDER BY pos)")}, false))),
   e AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY video_id) AS c FROM o),
