@@ -47,6 +47,22 @@ def coerce(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*(column(f) for f in schema.fields))
 
 
+SCHEMA_VERSION = 2
+
+
+def migrated(channels: DataFrame) -> DataFrame:
+    """Channels of any known schema version brought to the present one, with migrated: whether they were older.
+
+    Rows without version, or of 0 or 1, lose banner_external_url and status, and
+    their video_count is uploads_count now. A version that isn't known fails the query.
+    """
+    version = F.col("schema_version")
+    known = F.when(version.isNull() | version.isin(0, 1), True).when(version == SCHEMA_VERSION, False)
+    failed = F.raise_error(F.concat(F.lit("unknown schema version: "), version.cast("string"))).cast("boolean")
+    rows = channels.withColumn("migrated", F.coalesce(known, failed)).withColumn("schema_version", F.lit(SCHEMA_VERSION))
+    return rows.withColumnRenamed("video_count", "uploads_count").drop("banner_external_url", "status")
+
+
 def duration_seconds(iso: Column) -> Column:
     """Seconds of an ISO 8601 duration of days, hours, minutes and seconds; 0 where it can't be read."""
     form = r"^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$"

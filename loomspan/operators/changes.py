@@ -8,12 +8,25 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-def content_hash(columns: Sequence[str]) -> Column:
-    """A digest of columns by name; arrays count as sets, so their order doesn't matter."""
-    return F.md5(F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"}))
+def content_hash(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A digest of columns by name; the order of arrays and of the keys of maps doesn't matter, wherever they are nested."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return F.md5(F.to_json(F.struct(*(_settled(F.col(c), kinds[c]).alias(c) for c in sorted(columns))), {"ignoreNullFields": "false"}))
+
+
+def _settled(value: Column, kind: T.DataType) -> Column:
+    """A value with its arrays sorted, those within others too, and its maps as sorted entries."""
+    if isinstance(kind, T.ArrayType):
+        return F.array_sort(F.transform(value, lambda x: _settled(x, kind.elementType)))
+    if isinstance(kind, T.MapType):
+        return F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _settled(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(_settled(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return value
 
 
 def consecutive(df: DataFrame, keys: Sequence[str], order: Sequence[str], content: Sequence[str]) -> DataFrame:
@@ -22,14 +35,14 @@ def consecutive(df: DataFrame, keys: Sequence[str], order: Sequence[str], conten
     One shuffle by key. Keys are single entities, observed now and again.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    hashed = df.withColumn("__h", content_hash(content))
+    hashed = df.withColumn("__h", content_hash(df, content))
     return hashed.withColumn("changed", F.lag("__h").over(w) != F.col("__h")).drop("__h")
 
 
 def versions_archived(df: DataFrame, keys: Sequence[str], order: Sequence[str], content: Sequence[str]) -> DataFrame:
     """The states that a later one replaced, numbered from 1 by key: what an archive holds."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    hashed = df.withColumn("__h", content_hash(content))
+    hashed = df.withColumn("__h", content_hash(df, content))
     replaced = hashed.withColumn("__next", F.lead("__h").over(w)).filter(F.col("__next") != F.col("__h"))
     return replaced.withColumn("version", F.row_number().over(w)).drop("__h", "__next")
 
@@ -37,7 +50,7 @@ def versions_archived(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def weekly_archive(df: DataFrame, keys: Sequence[str], order: Sequence[str], content: Sequence[str], at: str) -> DataFrame:
     """Replaced states, the first of each key, calendar year and ISO week."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("__h", content_hash(content)).withColumn("__next", F.lead("__h").over(w)).withColumn("archived_at", F.lead(at).over(w))
+    rows = df.withColumn("__h", content_hash(df, content)).withColumn("__next", F.lead("__h").over(w)).withColumn("archived_at", F.lead(at).over(w))
     replaced = rows.filter(F.col("__next") != F.col("__h")).withColumn("year", F.year("archived_at")).withColumn("week", F.weekofyear("archived_at"))
     first = Window.partitionBy(*keys, "year", "week").orderBy("archived_at", *order)
     return replaced.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__h", "__next", "__n")

@@ -73,6 +73,11 @@ def author_tier(comments: DataFrame, subscriptions: DataFrame, channels: DataFra
     return both.withColumn("author_tier", tier).drop("s_id", "k_id")
 
 
+def shown(*, replies: bool) -> Column:
+    """Whether a comment is listed: replies only if asked for, but those of creators and followed channels always. Needs parent_id and author_tier."""
+    return F.lit(replies) | F.col("parent_id").isNull() | F.col("author_tier").isin("creator", "subscribed")
+
+
 def author_points(channels: DataFrame, clock: str) -> DataFrame:
     """channel_id and the points of each mark of its owner: handle, name, age, subscribers, activity.
 

@@ -24,6 +24,23 @@ def video_changes(spark: SparkSession, folder: str) -> DataFrame:
     return C.consecutive(_observed(spark, folder), ["video_id"], ["last_updated"], ["title"]).filter("changed").select("video_id", "last_updated", "title")
 
 
+#: Columns of a video that change without the video changing.
+VOLATILE = ("first_seen", "last_updated", "view_count", "like_count", "comment_count")
+
+
+def document_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Fetches of a video whose document differs from the fetch before in anything but the volatile columns; the order of lists doesn't matter."""
+    rows = table(spark, folder, "videos").filter(F.col("video_id").isNotNull() & F.col("last_updated").isNotNull())
+    # The table's fetches of a video are alike: to each comes one of the day before, with the tags in another order, which is no change, and at times another title.
+    other = F.when(F.length("title") % 3 == 0, F.concat("title", F.lit("*"))).otherwise(F.col("title"))
+    before = rows.withColumn("last_updated", F.col("last_updated") - F.expr("INTERVAL 1 DAY")).withColumn("tags", F.reverse("tags")).withColumn("title", other)
+    rows = rows.unionByName(before)
+    content = [c for c in rows.columns if c != "video_id" and c not in VOLATILE]
+    hashed = rows.select("video_id", "last_updated", C.content_hash(rows, content).alias("h"))
+    one = hashed.groupBy("video_id", "last_updated").agg(F.max("h").alias("h"))
+    return C.consecutive(one, ["video_id"], ["last_updated"], ["h"]).filter("changed").select("video_id", "last_updated")
+
+
 def archive_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Replaced titles as numbered versions."""
     return C.versions_archived(_observed(spark, folder), ["video_id"], ["last_updated"], ["title"]).select("video_id", "version", "title", "last_updated")
@@ -166,7 +183,7 @@ def batch_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return v.join(t, "video_id", "left").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (video_changes, archive_versions, latest_versions, channel_weekly_archive, comment_edits, snapshot_upsert, removed_entities, playlist_refresh, ordered_list_merge, uploads_by_year,
+QUERIES = {f.__name__: f for f in (video_changes, document_changes, archive_versions, latest_versions, channel_weekly_archive, comment_edits, snapshot_upsert, removed_entities, playlist_refresh, ordered_list_merge, uploads_by_year,
                                    uploads_refresh_merge, incremental_since_watermark, undone_ratings, rating_log_tail, stale_outputs, work_budget, page_cap, sync_decisions, batch_outcomes)}
 
 _OBS = """obs AS (SELECT video_id, title, view_count, last_updated FROM video_updates WHERE video_id IS NOT NULL AND last_updated IS NOT NULL
@@ -179,6 +196,10 @@ p AS (SELECT playlists.*, n FROM playlists JOIN d USING (snapshot_date) WHERE n
 o AS (SELECT * FROM p WHERE n = 2), w AS (SELECT * FROM p WHERE n = 1)"""
 _UP = "up AS (SELECT DISTINCT channel_id, video_id, published_at FROM videos WHERE channel_id IS NOT NULL AND published_at IS NOT NULL)"
 ORACLE = {
+    "document_changes": """WITH w AS (SELECT * FROM videos UNION ALL BY NAME SELECT * REPLACE (last_updated - INTERVAL 1 DAY AS last_updated, CASE WHEN length(title) % 3 = 0 THEN title || '*' ELSE title END AS title) FROM videos), d AS (SELECT DISTINCT video_id, last_updated, to_json(v) AS doc FROM (
+    SELECT video_id, last_updated, (SELECT x FROM (SELECT w.* EXCLUDE (video_id, last_updated, first_seen, view_count, like_count, comment_count) REPLACE (list_sort(w.tags) AS tags)) x) AS v
+    FROM w WHERE video_id IS NOT NULL AND last_updated IS NOT NULL))
+  SELECT video_id, last_updated FROM d QUALIFY doc <> lag(doc) OVER (PARTITION BY video_id ORDER BY last_updated)""",
     "video_changes": f"WITH {_OBS} SELECT video_id, last_updated, title FROM (SELECT *, lag(title) OVER w AS t0, lag(video_id) OVER w AS v0 FROM obs WINDOW w AS (PARTITION BY video_id ORDER BY last_updated)) WHERE v0 IS NOT NULL AND t0 IS DISTINCT FROM title",
     "archive_versions": f"WITH {_OBS} SELECT video_id, version, title, last_updated FROM ver",
     "latest_versions": f"WITH {_OBS} SELECT v.video_id, coalesce(max(version), 0)::INTEGER AS version FROM (SELECT DISTINCT video_id FROM obs) v LEFT JOIN ver USING (video_id) GROUP BY 1",

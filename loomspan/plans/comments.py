@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspan.functions import text as X
 from loomspan.operators import quality as Q
@@ -42,17 +43,22 @@ def signal_totals(spark: SparkSession, folder: str) -> DataFrame:
     return parts.groupBy(F.col("b.signal").alias("signal")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("b.points"), 1).alias("points"))
 
 
+def comment_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every signal that counts for a comment, with its points."""
+    return _classified(spark, folder).select("comment_id", F.explode("breakdown").alias("b")).select("comment_id", "b.signal", "b.points")
+
+
 def quality_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """The hundred best comments: quality first, then anti; ignorable ones aren't listed."""
+    """Comments from the best on: quality first, then anti; ignorable ones aren't listed."""
     order = F.when(F.col("quality_class") == "quality", 0).otherwise(1)
     rows = _classified(spark, folder).filter(F.col("quality_class") != "ignorable")
-    return rows.orderBy(order, F.col("score").desc(), "comment_id").limit(100).select("comment_id", "quality_class", "score")
+    return rows.orderBy(order, F.col("score").desc(), "comment_id").select("comment_id", "quality_class", "score")
 
 
 def caps_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """The hundred comments with most capitalised words within sentences."""
+    """Comments from those with most capitalised words within sentences on."""
     rows = _now(spark, folder, True).select("comment_id", F.round(X.mid_sentence_caps_ratio(F.col("text")), 6).alias("caps"))
-    return rows.orderBy(F.col("caps").desc(), "comment_id").limit(100)
+    return rows.orderBy(F.col("caps").desc(), "comment_id")
 
 
 def author_tiers(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,18 +103,21 @@ def authors_to_fetch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def thread_rendering(spark: SparkSession, folder: str) -> DataFrame:
-    """Comments as text, in the order of their threads."""
-    return Q.rendered(_now(spark, folder, True)).select("video_id", "thread_id", "is_reply", "comment_id", "rendered")
+    """Comments as text, ordered by video, by threads as they begin, and within these by answers as they come; place counts within the thread."""
+    rows = Q.rendered(_now(spark, folder, True))
+    place = F.row_number().over(Window.partitionBy("thread_id").orderBy("is_reply", F.col("published_at").asc_nulls_last(), "comment_id")) - 1
+    ordered = rows.withColumn("place", place).orderBy("video_id", F.col("thread_at").asc_nulls_last(), "thread_id", "place")
+    return ordered.select("video_id", "thread_at", "thread_id", "place", "is_reply", "comment_id", "rendered")
 
 
 def comment_grep(spark: SparkSession, folder: str) -> DataFrame:
-    """Top comments and the creator's answers that match a pattern, whatever the case."""
+    """Top comments, and answers by the creator and by followed channels, that match a pattern, whatever the case."""
     rows = _now(spark, folder, True).filter(X.grep(F.col("text"), "spindle|handbook"))
-    visible = F.col("parent_id").isNull() | F.col("author_channel_id").eqNullSafe(F.col("creator_id")) & F.col("creator_id").isNotNull()
-    return rows.filter(visible).select("comment_id", "video_id")
+    tiers = Q.author_tier(rows, _subscriptions(spark, folder), table(spark, folder, "channels"))
+    return tiers.filter(Q.shown(replies=False)).select("comment_id", "video_id")
 
 
-QUERIES = {f.__name__: f for f in (comment_quality, class_histogram, signal_totals, quality_listing, caps_listing, author_tiers, author_points, relevance_points, creator_replies, mentioned_parents, thread_gaps, threads_to_expand, authors_to_fetch, thread_rendering, comment_grep)}
+QUERIES = {f.__name__: f for f in (comment_quality, class_histogram, signal_totals, comment_report, quality_listing, caps_listing, author_tiers, author_points, relevance_points, creator_replies, mentioned_parents, thread_gaps, threads_to_expand, authors_to_fetch, thread_rendering, comment_grep)}
 
 _S = X.SPACE
 _NOW = rf"""
@@ -147,11 +156,22 @@ q AS (SELECT *, CASE WHEN is_anti THEN 0.0 ELSE round((author_tier = 'subscribed
   author_tier IN ('creator', 'subscribed') OR length(text) >= 200 OR length(text) >= 30 AND regexp_matches(text, '{X.ENTITY}') OR cites AS gate FROM s),
 c AS (SELECT *, CASE WHEN is_anti THEN 'anti' WHEN gate AND score >= 5 THEN 'quality' ELSE 'ignorable' END AS quality_class FROM q)"""
 
+_POINTS = {
+    "subscribed": "(author_tier = 'subscribed')::INTEGER * 100", "citation": "cites::INTEGER * 5", "effort": _T._EFFORT_SQL, "sentences": "CASE WHEN sents >= 2 THEN least(5.0, 0.5 * sents) ELSE 0.0 END",
+    **{k: f"CASE WHEN ok THEN {_T._QUAD(v, k)} ELSE 0.0 END" for k, v in (("word_length", "(letters / nw)"), ("sentence_length", "(nw / sents)"), ("discourse_markers", "marks"), ("special_signs", "(signs / length(text))"))},
+    "mid_caps": "CASE WHEN floor(mid * 100) >= 2 THEN least(5, floor(mid * 100) - 1) ELSE 0 END", "replies": "2 * coalesce(total_reply_count >= 1, false)::INTEGER", "reply_chain": "2 * mentioned::INTEGER",
+    "likes": "coalesce(like_count > 0, false)::INTEGER", "edited": "coalesce(published_at <> updated_at, false)::INTEGER", "creator_replied": "(rl > 0)::INTEGER",
+    **{f"creator_reply_{n}": f"(rl > {n})::INTEGER" for n in (200, 400, 600)}, "relevance": "relp", **{f"author_{k}": f"coalesce(pts.{k}, 0)" for k in ("handle_botlike", "handle_eq_name", "default_avatar", "age_5y", "subs_20", "active")},
+}
+_SIGNALS = f"""WITH {_CLASSIFIED}, u AS (SELECT comment_id, unnest([{", ".join(f"{{'signal': '{k}', 'points': ({v})::DOUBLE}}" for k, v in _POINTS.items())}]) AS b FROM s LEFT JOIN pts ON pts.channel_id = s.author_channel_id WHERE NOT is_anti),
+r AS (SELECT comment_id, b.signal AS signal, b.points AS points FROM u WHERE b.points <> 0) """
 ORACLE = {
     "comment_quality": f"WITH {_CLASSIFIED} SELECT comment_id, author_tier, quality_class, score FROM c",
     "class_histogram": f"WITH {_CLASSIFIED} SELECT quality_class, count(*) AS n, round(sum(score), 1) AS total FROM c GROUP BY 1",
-    "quality_listing": f"WITH {_CLASSIFIED} SELECT comment_id, quality_class, score FROM c WHERE quality_class <> 'ignorable' ORDER BY quality_class <> 'quality', score DESC, comment_id LIMIT 100",
-    "caps_listing": f"WITH {_NOW} SELECT comment_id, round({_T._MID}, 6) AS caps FROM now ORDER BY caps DESC, comment_id LIMIT 100",
+    "comment_report": _SIGNALS + "SELECT comment_id, signal, points FROM r",
+    "signal_totals": _SIGNALS + "SELECT signal, count(*) AS n, round(sum(points), 1) AS points FROM r GROUP BY 1",
+    "quality_listing": f"WITH {_CLASSIFIED} SELECT comment_id, quality_class, score FROM c WHERE quality_class <> 'ignorable' ORDER BY quality_class <> 'quality', score DESC, comment_id",
+    "caps_listing": f"WITH {_NOW} SELECT comment_id, round({_T._MID}, 6) AS caps FROM now ORDER BY caps DESC, comment_id",
     "author_tiers": f"WITH {_NOW} SELECT author_tier, count(*) AS n FROM tier GROUP BY 1",
     "author_points": f"WITH {_NOW} SELECT * FROM pts",
     "relevance_points": f"WITH {_NOW} SELECT comment_id, rank::BIGINT AS rank, size::BIGINT AS size, points::DOUBLE AS points FROM rel",
@@ -163,11 +183,12 @@ ORACLE = {
     "threads_to_expand": f"""WITH {_CLASSIFIED}, p AS (SELECT parent_id, count(*) AS present FROM c WHERE parent_id IS NOT NULL GROUP BY 1)
   SELECT comment_id, video_id, score FROM c LEFT JOIN p ON p.parent_id = comment_id WHERE c.parent_id IS NULL AND score >= 10 AND NOT coalesce(replies_complete, false) AND coalesce(total_reply_count, 0) > coalesce(present, 0)""",
     "authors_to_fetch": f"WITH {_NOW} SELECT DISTINCT author_channel_id FROM now ANTI JOIN subs ON subs.channel_id = author_channel_id WHERE length(text) >= 50 AND author_channel_id IS NOT NULL AND author_channel_id IS DISTINCT FROM creator_id",
-    "thread_rendering": f"""WITH {_NOW}, p AS (SELECT parent_id, count(*) AS present FROM now WHERE parent_id IS NOT NULL GROUP BY 1), tops AS (SELECT comment_id FROM now WHERE parent_id IS NULL)
-  SELECT video_id, coalesce(now.parent_id, comment_id) AS thread_id, now.parent_id IS NOT NULL AS is_reply, comment_id,
+    "thread_rendering": f"""WITH {_NOW}, p AS (SELECT parent_id, count(*) AS present FROM now WHERE parent_id IS NOT NULL GROUP BY 1), tops AS (SELECT comment_id AS t_id, published_at AS thread_at FROM now WHERE parent_id IS NULL)
+  SELECT video_id, thread_at, coalesce(now.parent_id, comment_id) AS thread_id,
+    (row_number() OVER (PARTITION BY coalesce(now.parent_id, comment_id) ORDER BY now.parent_id IS NOT NULL, published_at NULLS LAST, comment_id) - 1)::INTEGER AS place, now.parent_id IS NOT NULL AS is_reply, comment_id,
     CASE WHEN now.parent_id IS NULL THEN '' ELSE '  ' END || '[' || comment_id || '] likes: ' || coalesce(like_count, 0)
     || CASE WHEN now.parent_id IS NULL AND coalesce(total_reply_count, 0) > 0 THEN ' | replies: ' || coalesce(present, 0) || '/' || total_reply_count ELSE '' END
     || CASE WHEN now.parent_id IS NULL THEN chr(10) || text ELSE replace(chr(10) || text, chr(10), chr(10) || '  ') END AS rendered
-  FROM now LEFT JOIN p ON p.parent_id = comment_id WHERE coalesce(now.parent_id, comment_id) IN (SELECT comment_id FROM tops)""",
-    "comment_grep": f"WITH {_NOW} SELECT comment_id, video_id FROM now WHERE regexp_matches(text, '(?i)spindle|handbook') AND (parent_id IS NULL OR author_channel_id = creator_id)",
+  FROM now LEFT JOIN p ON p.parent_id = comment_id JOIN tops ON t_id = coalesce(now.parent_id, comment_id)""",
+    "comment_grep": f"WITH {_NOW} SELECT comment_id, video_id FROM tier WHERE regexp_matches(text, '(?i)spindle|handbook') AND (parent_id IS NULL OR author_tier IN ('creator', 'subscribed'))",
 }

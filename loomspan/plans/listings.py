@@ -12,8 +12,8 @@ from loomspan.functions.providers import entities
 from loomspan.operators.latest import latest_row
 from loomspan.operators.quality import current_channels, current_comments, owners
 from loomspan.plans.comments import CLOCK
-from loomspan.plans.transcripts import ORACLE as CHAPTERS
-from loomspan.plans.transcripts import timestamp_chapter_asof
+from loomspan.plans.transcripts import NAMED_SQL as CHAPTERS_NAMED
+from loomspan.plans.transcripts import named_chapters
 from loomspan.sources.tables import table
 
 
@@ -37,9 +37,10 @@ def limit_then_grep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chapter_indices(spark: SparkSession, folder: str) -> DataFrame:
-    """The chapters a comment names by time, each once."""
-    rows = timestamp_chapter_asof(spark, folder).filter("chapter_no IS NOT NULL")
-    return rows.groupBy("comment_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("chapter_no")), lambda c: c.cast("string")), ",").alias("chapters"))
+    """The chapters a comment names by time, each once, in the order in which it names them first."""
+    rows = named_chapters(spark, folder).filter("chapter_no IS NOT NULL")
+    named = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "chapter_no"))), lambda c: c["chapter_no"].cast("string")))
+    return rows.groupBy("comment_id").agg(F.array_join(named, ",").alias("chapters"))
 
 
 def author_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +113,7 @@ ORACLE = {
     "latest_years": f"""WITH {_V}, p AS (SELECT channel_id, year(published_at)::INTEGER AS year, count(*) AS n FROM v WHERE channel_id IS NOT NULL AND published_at IS NOT NULL GROUP BY ALL)
 SELECT channel_id, year, n, count(*) OVER (PARTITION BY channel_id) > 5 AS more FROM p QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY year DESC) <= 5""",
     "limit_then_grep": f"WITH {_V}, n AS (SELECT * FROM v ORDER BY published_at DESC NULLS LAST, video_id LIMIT 50) SELECT video_id, trim(translate(title, chr(9) || chr(10) || chr(13), '   ')) AS title FROM n WHERE regexp_matches(title, '(?i)how|fix')",
-    "chapter_indices": f"WITH base AS ({CHAPTERS['timestamp_chapter_asof']}) SELECT comment_id, string_agg(chapter_no::VARCHAR, ',' ORDER BY chapter_no) AS chapters FROM (SELECT DISTINCT comment_id, chapter_no FROM base WHERE chapter_no IS NOT NULL) GROUP BY 1",
+    "chapter_indices": f"WITH base AS ({CHAPTERS_NAMED}) SELECT comment_id, string_agg(chapter_no::VARCHAR, ',' ORDER BY place) AS chapters FROM (SELECT comment_id, chapter_no, min(place) AS place FROM base WHERE chapter_no IS NOT NULL GROUP BY ALL) GROUP BY 1",
     "prompts": rf"""WITH {_V}, d AS (SELECT video_id, title, description, coalesce(CASE WHEN regexp_matches(duration_data, '^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$') THEN
     coalesce(TRY_CAST(regexp_extract(duration_data, '(\d+)D', 1) AS BIGINT), 0) * 86400 + coalesce(TRY_CAST(regexp_extract(duration_data, '(\d+)H', 1) AS BIGINT), 0) * 3600
     + coalesce(TRY_CAST(regexp_extract(duration_data, '(\d+)M', 1) AS BIGINT), 0) * 60 + coalesce(TRY_CAST(regexp_extract(duration_data, '(\d+)S', 1) AS BIGINT), 0) END, 0)::BIGINT AS s FROM v)

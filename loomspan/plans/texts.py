@@ -78,7 +78,11 @@ def event_properties(spark: SparkSession, folder: str) -> DataFrame:
 def schema_migration(spark: SparkSession, folder: str) -> DataFrame:
     """Channels brought to the present schema version: old rows lose two fields, their counter is renamed."""
     rows = table(spark, folder, "channels").filter(F.col("channel_id").isNotNull())
-    return rows.select("channel_id", "last_updated", F.col("uploads_count").alias("video_count"), F.lit(2).alias("schema_version"), (F.col("schema_version") < 2).alias("migrated")).distinct()
+    # The rows of the table are of the present version: every third is taken for one of an older mirror.
+    old = F.pmod(F.length("title"), F.lit(3))
+    rows = rows.withColumn("schema_version", F.when(old == 0, F.lit(None)).when(old == 1, 1).otherwise(F.col("schema_version")).cast("int"))
+    rows = rows.select("channel_id", "last_updated", "schema_version", F.col("uploads_count").alias("video_count"), "banner_external_url", "status")
+    return V.migrated(rows).select("channel_id", "last_updated", "uploads_count", "schema_version", "migrated").distinct()
 
 
 def duration_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,7 +182,7 @@ SELECT channel_id, CASE WHEN regexp_matches(title, '[^{_S}]') THEN title END AS
   {", ".join(f"TRY_CAST(CASE WHEN regexp_matches(regexp_replace({c}, '^[{_S}]+|[{_S}]+$', '', 'g'), '^[+-]?[0-9]+$') THEN regexp_replace({c}, '^[{_S}]+|[{_S}]+$', '', 'g') END AS BIGINT) AS {c}" for c in ("view_count", "subscriber_count", "uploads_count"))},
   schema_version FROM o""",
     "event_properties": "SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.missing.deeper') AS deeper FROM events",
-    "schema_migration": "SELECT DISTINCT channel_id, last_updated, uploads_count AS video_count, 2 AS schema_version, schema_version < 2 AS migrated FROM channels WHERE channel_id IS NOT NULL",
+    "schema_migration": "SELECT DISTINCT channel_id, last_updated, uploads_count, 2 AS schema_version, coalesce(length(title) % 3 < 2, false) AS migrated FROM channels WHERE channel_id IS NOT NULL",
     "duration_labels": r"""
 WITH d AS (SELECT DISTINCT video_id, coalesce(CASE WHEN regexp_matches(duration_data, '^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$') THEN
     coalesce(TRY_CAST(regexp_extract(duration_data, '(\d+)D', 1) AS BIGINT), 0) * 86400 + coalesce(TRY_CAST(regexp_extract(duration_data, '(\d+)H', 1) AS BIGINT), 0) * 3600

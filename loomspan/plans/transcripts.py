@@ -40,12 +40,17 @@ def chapter_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return C.intervals(one, "video_id").select("video_id", "offset", "chapter_no", "next_start")
 
 
-def timestamp_chapter_asof(spark: SparkSession, folder: str) -> DataFrame:
-    """The chapter of each time named in a comment."""
+def named_chapters(spark: SparkSession, folder: str) -> DataFrame:
+    """The chapter of each time named in a comment, with its place among the comment's times."""
     comments = current_comments(table(spark, folder, "comments"))
-    times = comments.select("comment_id", "video_id", F.explode(timestamps(F.col("text"))).alias("t")).select("comment_id", "video_id", F.col("t.seconds").alias("second")).distinct()
+    times = comments.select("comment_id", "video_id", F.posexplode(timestamps(F.col("text"))).alias("place", "t")).select("comment_id", "video_id", "place", F.col("t.seconds").alias("second"))
     chapters = latest_row(_chapters(spark, folder), ["video_id", "offset"], [F.col("i")]).select("video_id", "offset")
-    return C.chapter_at(times, chapters, "video_id", "second").select("comment_id", "second", "chapter_no")
+    return C.chapter_at(times, chapters, "video_id", "second").select("comment_id", "place", "second", "chapter_no")
+
+
+def timestamp_chapter_asof(spark: SparkSession, folder: str) -> DataFrame:
+    """The chapter of each time named in a comment."""
+    return named_chapters(spark, folder).select("comment_id", "second", "chapter_no").distinct()
 
 
 def _found(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,6 +161,11 @@ iv AS (SELECT video_id, "offset", (row_number() OVER w - 1)::INTEGER AS chapter_
 _FOUND = """fd0 AS (SELECT *, (length(title) * 31 + i * 17) % 83 AS h FROM c),
 fd AS (SELECT video_id, ("offset" + h - 20)::INTEGER AS "offset", (h % 3 + 2)::INTEGER AS level, upper(title) AS title FROM fd0 WHERE "offset" + h - 20 >= 0)"""
 _CHUNKS = rf"""k AS (SELECT video_id, chunk_id, max(transcript_chunk) AS t FROM transcripts WHERE regexp_matches(transcript_chunk, '^\d+: ') GROUP BY ALL)"""
+NAMED_SQL = rf"""WITH {_ONE}, cm AS (SELECT comment_id, video_id, text_original FROM comments WHERE comment_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY comment_id ORDER BY last_seen DESC NULLS LAST) = 1),
+x AS (SELECT comment_id, video_id, list_filter(regexp_extract_all(text_original, '\b(?:\d{{1,2}}:)?\d{{1,2}}:\d{{2}}\b'), lambda t: CAST(right(t, 2) AS INTEGER) < 60) AS xs FROM cm),
+t AS (SELECT comment_id, video_id, generate_subscripts(xs, 1) - 1 AS place, unnest(xs) AS x FROM x),
+s AS (SELECT comment_id, video_id, place, {_SEC("x")} AS second FROM t)
+SELECT comment_id, place, second, chapter_no FROM s ASOF LEFT JOIN iv ON s.video_id = iv.video_id AND s.second >= iv."offset" """
 ORACLE = {
     "chapter_parse": f"WITH {_ONE} SELECT * FROM c",
     "chapter_intervals": f"WITH {_ONE} SELECT * FROM iv",

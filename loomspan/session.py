@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,13 +30,17 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local runs) a temporary folder of
-    this machine is chosen, once per session.
+    Only where the setting is absent and the master is local (tests, local runs)
+    a temporary folder of this machine is chosen, once per session, and removed
+    when the process ends. On a cluster without the setting this is an error.
     """
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomspan.shared.dir", None)
     if not folder:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loomspan-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("loomspan.shared.dir", folder)
     return folder.rstrip("/")
 

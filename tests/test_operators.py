@@ -1,6 +1,9 @@
 import datetime as dt
 import random
 
+import pytest
+
+from loomspan.functions import values as V
 from loomspan.operators import blocks as B
 from loomspan.operators import changes as C
 from loomspan.operators import chapters as H
@@ -8,6 +11,7 @@ from loomspan.operators import limits as L
 from loomspan.operators import media as M
 from loomspan.operators import parsing as P
 from loomspan.operators import quality as Q
+from loomspan.session import shared_folder
 from pyspark.sql import functions as F
 
 
@@ -162,3 +166,34 @@ def test_media(spark):
     s = spark.createDataFrame([([("audio", "aac", None, None, 2), ("video", "h264", 640, 480, None)], [90, 8, 2])], "s array<struct<codec_type:string,codec_name:string,width:int,height:int,channels:int>>, c array<bigint>")
     r = s.select(M.probe(F.col("s")).alias("p"), M.significant_colors(F.col("c")).alias("n")).collect()[0]
     assert (r.p.video_codec, r.p.audio_codec, r.p.width, r.n) == ("h264", "aac", 640, 2)
+
+
+def test_content_hash_ignores_the_order_of_lists_and_maps(spark):
+    schema = "k string, n int, tags array<string>, m map<string,struct<url:string>>, s struct<a:array<int>>"
+    rows = [("a", 1, ["x", "y"], {"p": ("1",), "q": ("2",)}, ([1, 2],)), ("a", 2, ["y", "x"], {"q": ("2",), "p": ("1",)}, ([2, 1],)), ("a", 3, ["y"], {"q": ("2",), "p": ("1",)}, ([2, 1],)), ("a", 4, None, None, None), ("a", 5, None, None, None)]
+    out = C.consecutive(spark.createDataFrame(rows, schema), ["k"], ["n"], ["tags", "m", "s"]).orderBy("n").collect()
+    assert [r.changed for r in out] == [None, False, True, True, False]
+
+
+def test_unknown_schema_versions_fail(spark):
+    rows = [("a", v, "7", "b", None) for v in (None, 0, 1, 2)]
+    schema = "channel_id string, schema_version int, video_count string, banner_external_url string, status string"
+    out = V.migrated(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.schema_version, r.migrated, r.uploads_count) for r in out] == [(2, True, "7")] * 3 + [(2, False, "7")]
+    with pytest.raises(Exception, match="unknown schema version: 3"):
+        V.migrated(spark.createDataFrame([("a", 3, "7", "b", None)], schema)).collect()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
