@@ -10,6 +10,8 @@ from loomspan.session import materialize
 
 #: Videos of a channel from which on a block is boilerplate.
 REPEATED = 3
+#: Version of the rules; what was derived with another is derived anew.
+VERSION = 1
 SHORT_LINE = 120
 HEADER = 60
 
