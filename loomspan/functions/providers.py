@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,7 +23,43 @@ class Cleaner:
         return re.sub(r"\s{2,}", " ", re.sub(r"\b(?:u+h+|u+m+|er+m*|hm+)\b[,.…]*\s?", "", text, flags=re.I)).strip()
 
 
-PROVIDERS: dict[str, Callable[[], Provider]] = {"offline": Cleaner}
+class Analyst:
+    """Answers the questions of the extraction pipeline by rule, from the title and description in the prompt; a stand-in for a model."""
+
+    def ask(self, prompt: str, history: list[str]) -> str:
+        question, _, text = prompt.partition("\n---\n")
+        title, _, description = text.partition("\n")
+        links = list(dict.fromkeys(re.findall(r"https?://\S+", description, re.A)))
+        if question == "FORMAT":
+            return "commentary" if re.search("news|why", title.lower()) else "tutorial"
+        if question == "SOURCES":
+            return "\n".join(f"link {n} | description | {u}" for n, u in enumerate(links)) or "none"
+        if question == "TRACE":
+            return "\n".join(links) or "nothing to trace"
+        if question == "EVALUATE":
+            n = len(description)
+            coverage = "full" if n >= 200 else "partial" if n else "minimal"
+            return f"COVERAGE: {coverage}\nVALUE: insight: {min(5, 1 + n // 100)}\nVERDICT: {'need_transcript' if not n else 'discard' if n < 40 else 'score'}"
+        return "none"
+
+
+PROVIDERS: dict[str, Callable[[], Provider]] = {"offline": Cleaner, "analyst": Analyst}
+
+
+class Profile(NamedTuple):
+    """How a named task is asked: by which provider, and how many earlier answers it is reminded of."""
+
+    provider: str
+    remember: int = 2
+
+
+PROFILES: dict[str, Profile] = {"default": Profile("offline"), "analyst": Profile("analyst", 7)}
+
+
+def profile_of(name: str) -> Profile:
+    if name not in PROFILES:
+        raise ValueError(f"unknown profile {name!r}; there are {', '.join(sorted(PROFILES))}")
+    return PROFILES[name]
 
 
 def asked(df: DataFrame, key: str, prompt: str, *, provider: str = "offline") -> DataFrame:
@@ -66,6 +102,36 @@ def conversed(df: DataFrame, key: str, order: str, prompt: str, *, provider: str
     return rows.mapInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, answer string")
 
 
+#: The questions of the first step, in order: the sections of an extraction.
+QUESTIONS = ("FORMAT", "EPISODE", "SPEAKERS", "ENTITIES", "CONCEPTS", "RELATIONSHIPS", "SOURCES")
+
+
+def extracted(df: DataFrame, key: str, title: str, text: str, *, profile: str = "default") -> DataFrame:
+    """``key``, extraction, traced, trace and evaluation of texts, in three steps.
+
+    First seven questions, asked in order with the answers before them, whose
+    answers are the sections of an extraction; then, where its format or its
+    sources ask for it, a trace of the sources; last an evaluation. Each step is
+    a stage of its own; texts are null-safe, a key has one row.
+    """
+    from loomspan.operators import parsing as P
+
+    p = profile_of(profile)
+    body = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+    questions = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(q).alias("q")) for n, q in enumerate(QUESTIONS)))
+    prompt = lambda q: F.concat(q, F.lit("\n---\n"), body)
+    rows = df.select(key, title, text, F.explode(questions).alias("q")).select(key, F.col("q.n").alias("n"), prompt(F.col("q.q")).alias("prompt"))
+    answers = conversed(rows, key, "n", "prompt", provider=p.provider, remember=p.remember)
+    names = F.array(*(F.lit(q) for q in QUESTIONS))
+    section = F.concat(F.lit("=== "), F.element_at(names, F.col("n") + 1), F.lit(" ===\n"), F.coalesce("answer", F.lit("none")))
+    joined = answers.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", section.alias("s")))), lambda x: x["s"]), "\n").alias("sections"))
+    found = joined.select(key, P.extraction(F.col("sections")).alias("extraction"))
+    found = df.select(key, title, text).join(found, key).withColumn("traced", P.traced(F.col("extraction.formats"), F.col("extraction.sources")))
+    trace = asked(found.filter("traced").select(key, prompt(F.lit("TRACE")).alias("prompt")), key, "prompt", provider=p.provider).withColumnRenamed("answer", "trace")
+    judged = asked(found.select(key, prompt(F.lit("EVALUATE")).alias("prompt")), key, "prompt", provider=p.provider)
+    return found.join(trace, key, "left").join(judged, key).select(key, "extraction", "traced", "trace", P.evaluation(F.col("answer")).alias("evaluation"))
+
+
 # Labels of entities that refer to people, places, works and the like.
 REFERENT = ("PERSON", "ORG", "GPE", "LOC", "WORK_OF_ART", "EVENT", "PRODUCT", "FAC", "NORP", "LAW", "LANGUAGE")
 _NAMED = re.compile(r"(?<=[^.!?\s] )(?:[A-Z][a-z]+(?: [A-Z][a-z]+)*|[A-Z]{2,5})\b")

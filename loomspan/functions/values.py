@@ -132,6 +132,18 @@ def error_label(kind: Column) -> Column:
     return F.concat(F.lit("error:"), F.coalesce(kind, F.lit("unknown")))
 
 
+# Statuses of failures that are known; any other is an error.
+STATUSES = {
+    "VideoUnavailable": "unavailable", "TranscriptsDisabled": "unavailable", "NoTranscriptFound": "unavailable", "CommentsDisabled": "disabled", "PlaylistInaccessible": "inaccessible", "RequestBlocked": "blocked",
+}
+
+
+def status_of(kind: Column) -> Column:
+    """The status a failure of a kind leads to; error for any kind that isn't known, and for null."""
+    table = F.create_map(*(F.lit(x) for pair in STATUSES.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, F.coalesce(kind, F.lit(""))), F.lit("error"))
+
+
 def call_cost(operation: Column, costs: Mapping[str, int]) -> Column:
     """The cost of an operation; 1 if it isn't listed."""
     table = F.create_map(*(F.lit(x) for pair in costs.items() for x in pair)) if costs else F.create_map().cast("map<string,int>")

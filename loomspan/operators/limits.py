@@ -25,6 +25,16 @@ LIMITS: Mapping[str, Spec] = {
 DAY_US = 86_400_000_000
 
 
+class UnknownBucket(ValueError):
+    """A request for a bucket without limits."""
+
+
+def spec_of(specs: Mapping[str, Spec], bucket: str) -> Spec:
+    if bucket not in specs:
+        raise UnknownBucket(f"unknown bucket {bucket!r}; there are {', '.join(sorted(specs))}")
+    return specs[bucket]
+
+
 def with_micros(log: DataFrame, at: str = "requested_at") -> DataFrame:
     return log.withColumn("us", F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{at}`)"))
 
@@ -153,7 +163,7 @@ def replay(log: DataFrame, specs: Mapping[str, Spec], *, blocking: bool = True)
         for pdf in batches:
             rows = []
             for key, bucket, us, cost, held in zip(*(pdf[c].tolist() for c in ("id", "bucket", "us", "cost", "held_ms"))):
-                gate = gates.setdefault(bucket, Gate(specs[bucket]))
+                gate = gates.setdefault(bucket, Gate(spec_of(specs, bucket)))
                 at = gate.free_at(us, cost)
                 if at is None or not blocking and at > us:
                     rows.append((key, bucket, None, None))

@@ -153,19 +153,21 @@ def _signals(t: Column) -> dict[str, Column]:
     }
 
 
-def classify(comments: DataFrame, videos: DataFrame, channels: DataFrame, subscriptions: DataFrame, *, clock: str) -> DataFrame:
+def classify(comments: DataFrame, videos: DataFrame, channels: DataFrame, subscriptions: DataFrame, *, clock: str, only: DataFrame | None = None) -> DataFrame:
     """quality_class (quality, anti, ignorable), score, author_tier and breakdown of every comment.
 
     An anti comment scores 0. Quality needs the gate (a trusted author, some
     length, a name or a citation) and the score. Everything is a built-in
     expression. The texts are shuffled once; the thread's facts come from narrow
     rows that are kept meanwhile, and are aggregated before they are joined.
-    Null texts are empty, null authors unknown, null counts none.
+    Null texts are empty, null authors unknown, null counts none. With ``only``
+    (comment_id) just these comments are scored, from the facts of all: a second pass.
     """
     owner = owners(videos)
     now = materialize(current_comments(comments, with_text=False).join(owner, "video_id", "left"))
     known = current_channels(channels)
-    rows = author_tier(current_comments(comments).join(owner, "video_id", "left"), subscriptions, known)
+    scored = comments if only is None else comments.join(only.select("comment_id").distinct(), "comment_id", "left_semi")
+    rows = author_tier(current_comments(scored).join(owner, "video_id", "left"), subscriptions, known)
     rows = rows.join(creator_replies(now).withColumnRenamed("parent_id", "r_id"), F.col("comment_id") == F.col("r_id"), "left")
     rows = rows.join(mentioned_parents(now).select(F.col("parent_id").alias("m_id"), F.lit(True).alias("mentioned")), F.col("comment_id") == F.col("m_id"), "left")
     rows = rows.join(relevance(now).select(F.col("comment_id").alias("v_id"), F.col("points").alias("relevance_points")), F.col("comment_id") == F.col("v_id"), "left")

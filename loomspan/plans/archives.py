@@ -133,11 +133,11 @@ def incremental_since_watermark(spark: SparkSession, folder: str) -> DataFrame:
 
 def undone_ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of the rating log that the current list lacks and the active store still has."""
-    e = table(spark, folder, "events")
-    log = e.filter("event_type = 'purchase' AND ts < TIMESTAMP_NTZ'2024-01-20 00:00:00'").select("user_id").distinct()
-    now = e.filter("event_type = 'purchase' AND ts >= TIMESTAMP_NTZ'2024-01-20 00:00:00'").select("user_id").distinct()
-    active = e.filter("event_type = 'click'").select("user_id").distinct()
-    return log.join(now, "user_id", "left_anti").join(active, "user_id", "left_semi")
+    e = table(spark, folder, "events").select("event_type", "ts", F.pmod(F.col("event_id") * 31, F.lit(7919)).alias("rated_id"))
+    log = e.filter("event_type = 'purchase' AND ts < TIMESTAMP_NTZ'2024-01-20 00:00:00'").select("rated_id").distinct()
+    now = e.filter("event_type = 'purchase' AND ts >= TIMESTAMP_NTZ'2024-01-20 00:00:00'").select("rated_id").distinct()
+    active = e.filter("event_type <> 'purchase'").select("rated_id").distinct()
+    return log.join(now, "rated_id", "left_anti").join(active, "rated_id", "left_semi")
 
 
 def rating_log_tail(spark: SparkSession, folder: str) -> DataFrame:
@@ -224,8 +224,9 @@ QUALIFY row_number() OVER (PARTITION BY comment_id ORDER BY new DESC, last_seen
 SELECT * FROM new UNION ALL SELECT up.* FROM up LEFT JOIN m USING (channel_id) WHERE published_at < TIMESTAMP '{SINCE}' + INTERVAL 60 DAY AND (oldest IS NULL OR published_at < oldest)""",
     "incremental_since_watermark": f"""WITH {_UP}, s AS (SELECT channel_id, max(published_at) AS mark FROM up WHERE published_at < TIMESTAMP '{SINCE}' GROUP BY 1)
 SELECT channel_id, count(*) AS n, max(published_at) AS watermark FROM up LEFT JOIN s USING (channel_id) WHERE mark IS NULL OR published_at > mark GROUP BY 1""",
-    "undone_ratings": """SELECT DISTINCT user_id FROM events e WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-20' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-20')
-  AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click')""",
+    "undone_ratings": """WITH e AS (SELECT *, event_id * 31 % 7919 AS rated_id FROM events)
+  SELECT DISTINCT rated_id FROM e WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-20' AND rated_id NOT IN (SELECT rated_id FROM e WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-20')
+  AND rated_id IN (SELECT rated_id FROM e WHERE event_type <> 'purchase')""",
     "rating_log_tail": "SELECT event_id, ts FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n > 5 AND ts > TIMESTAMP '2024-01-30'",
     "stale_outputs": """WITH n AS (SELECT video_id, max(last_updated) AS last_updated FROM videos WHERE video_id IS NOT NULL GROUP BY 1), m AS (SELECT DISTINCT video_id, last_updated FROM videos WHERE ascii(right(video_id, 1)) % 3 <> 0)
 SELECT video_id FROM n ANTI JOIN m USING (video_id, last_updated)""",

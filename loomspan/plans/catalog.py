@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import archives, comments, descriptions, extractions, flows, history, listings, mirror, requests, texts, transcripts
+from loomspan.plans import archives, comments, descriptions, extractions, flows, history, listings, mirror, requests, state, texts, transcripts
 
-_MODULES = (history, texts, comments, descriptions, archives, requests, transcripts, extractions, flows, listings, mirror)
+_MODULES = (history, texts, comments, descriptions, archives, requests, transcripts, extractions, flows, listings, mirror, state)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -9,11 +9,17 @@ from loomspan.functions.providers import asked, conversed
 from loomspan.operators import limits as L
 from loomspan.operators import media as M
 from loomspan.operators.latest import latest_row
+from loomspan.plans.requests import admitted_sql
 from loomspan.sources import mirror as S
 from loomspan.sources.tables import table
 from loomspan.streaming import flows as W
 
 
+#: Limits of the streamed buckets: seconds, most requests.
+WINDOWS = ((1, 1), (60, 5), (3600, 25), (86400, 200))
+BUCKETS = ("view", "click", "purchase", "signup", "error")
+
+
 def thread_flatten(spark: SparkSession, folder: str) -> DataFrame:
     """Threads nested as an interface gives them, flattened to rows again."""
     rows = table(spark, folder, "comments").filter("comment_id IS NOT NULL AND text_original IS NOT NULL").select("comment_id", "video_id", "text_original", "like_count", "total_reply_count").distinct()
@@ -46,8 +52,7 @@ def stream_uploads(spark: SparkSession, folder: str) -> DataFrame:
 def stream_admission(spark: SparkSession, folder: str) -> DataFrame:
     """Requests admitted or refused by a stream with state."""
     rows = L.with_micros(W.file_stream(spark, folder, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("bucket"), F.col("ts").alias("requested_at"), F.lit(1).alias("cost")))
-    specs = {b: (((1, 1), (60, 5), (3600, 25), (86400, 200)), None) for b in ("view", "click", "purchase", "signup", "error")}
-    return W.drained(W.admission(rows, specs))
+    return W.drained(W.admission(rows, {b: (WINDOWS, None) for b in BUCKETS}))
 
 
 def media_pointers(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,6 +83,7 @@ def model_chunks(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (thread_flatten, cache_misses, stream_usage, stream_uploads, stream_admission, media_pointers, timing_pivot, model_answers, model_chunks)}
 
 ORACLE = {
+    "stream_admission": admitted_sql({b: WINDOWS for b in BUCKETS}, "1"),
     "thread_flatten": """WITH r AS (SELECT DISTINCT comment_id, video_id, text_original, like_count, total_reply_count FROM comments WHERE comment_id IS NOT NULL AND text_original IS NOT NULL)
 SELECT video_id, 0 AS ordinal, comment_id, NULL::VARCHAR AS parent_id, like_count, total_reply_count FROM r UNION ALL SELECT video_id, 1, comment_id || '-r', comment_id, like_count, 0 FROM r""",
     "cache_misses": "SELECT DISTINCT video_id FROM (SELECT unnest(items) AS video_id FROM playlists) ANTI JOIN videos USING (video_id)",

@@ -82,14 +82,41 @@ def rate_admission_replay(spark: SparkSession, folder: str) -> DataFrame:
     return L.replay(log, {b: L.LIMITS[k] for b, k in kinds.items()})
 
 
-QUERIES = {f.__name__: f for f in (rate_usage_multiwindow, rate_daily_tz, rate_earliest_free, rate_outcomes_pivot, recent_requests, inflight_holder, rate_abandonment, rate_retention, quota_report, rate_admission_replay)}
+#: The kinds of limits that rate_try_acquire puts on the buckets.
+TRIED = {"view": "thumbnail", "click": "timedtext", "purchase": "media", "signup": "media", "error": "timedtext"}
+
+
+def rate_try_acquire(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests that don't wait: admitted at once or refused."""
+    log = _log(spark, folder).select("id", "bucket", "requested_at", "cost", F.lit(0).alias("held_ms"))
+    return L.replay(log, {b: L.LIMITS[k] for b, k in TRIED.items()}, blocking=False).select("id", "bucket", F.col("admitted_at").isNotNull().alias("admitted"))
+
+
+QUERIES = {f.__name__: f for f in (rate_usage_multiwindow, rate_daily_tz, rate_earliest_free, rate_outcomes_pivot, recent_requests, inflight_holder, rate_abandonment, rate_retention, quota_report, rate_admission_replay, rate_try_acquire)}
 
 _LOG = """log AS (SELECT event_id AS id, event_type AS bucket, ts AS requested_at, CASE WHEN event_id % 7 = 0 THEN 100 ELSE 1 END::BIGINT AS cost,
   CASE event_id % 11 WHEN 1 THEN 'blocked' WHEN 2 THEN 'error:Timeout' WHEN 3 THEN 'error:Quota' WHEN 4 THEN 'abandoned' WHEN 5 THEN NULL ELSE 'ok' END AS outcome, user_id % 3 AS pid FROM events),
 used AS (SELECT * FROM log WHERE coalesce(outcome, '') <> 'abandoned'),
 specs AS (SELECT b AS bucket, w.w AS window_sec, w.m AS max_cost FROM (SELECT unnest(['view', 'click', 'purchase', 'signup', 'error']) AS b), (SELECT * FROM (VALUES (60::BIGINT, 2::BIGINT), (3600, 150), (86400, 3000)) t(w, m)) w)"""
 _SUM = lambda n: f"sum(CASE WHEN coalesce(outcome, '') <> 'abandoned' THEN cost ELSE 0 END) OVER (PARTITION BY bucket ORDER BY requested_at RANGE BETWEEN INTERVAL {n} SECOND PRECEDING AND CURRENT ROW)::BIGINT AS used_{n}"
+
+
+def admitted_sql(windows: dict[str, tuple[tuple[int, int], ...]], cost: str) -> str:
+    """Requests admitted at once or refused, one after the other in each bucket, in SQL: id, bucket, admitted."""
+    specs = ", ".join(f"('{b}', [{', '.join(f'{{s: {s}, m: {m}}}' for s, m in ws)}])" for b, ws in windows.items())
+    return f"""WITH RECURSIVE spec AS (SELECT * FROM (VALUES {specs}) t(bucket, ws)),
+r AS (SELECT event_id AS id, event_type AS bucket, epoch_us(ts) AS us, {cost} AS c, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+a AS (
+  SELECT bucket, 0::BIGINT AS n, CAST([] AS STRUCT(u BIGINT, c BIGINT)[]) AS st, NULL::BIGINT AS id, NULL::BOOLEAN AS admitted FROM spec
+  UNION ALL
+  SELECT bucket, n, CASE WHEN ok THEN list_append(kept, {{u: us, c: c}}) ELSE kept END, id, ok FROM (
+    SELECT *, len(list_filter(ws, lambda w: c + coalesce(list_sum(list_transform(list_filter(kept, lambda x: x.u >= us - w.s::BIGINT * 1000000), lambda x: x.c)), 0) > w.m)) = 0 AS ok FROM (
+      SELECT r.bucket, r.n, r.id, r.us, r.c::BIGINT AS c, ws, list_filter(a.st, lambda x: x.u >= r.us - 86400000000) AS kept FROM a JOIN r ON r.bucket = a.bucket AND r.n = a.n + 1 JOIN spec ON spec.bucket = r.bucket)))
+SELECT id, bucket, admitted FROM a WHERE n > 0"""
+
+
 ORACLE = {
+    "rate_try_acquire": admitted_sql({b: L.LIMITS[k][0] for b, k in TRIED.items()}, "CASE WHEN event_id % 7 = 0 THEN 100 ELSE 1 END"),
     "rate_usage_multiwindow": f"WITH {_LOG} SELECT id, {', '.join(map(_SUM, WINDOWS))} FROM log",
     "rate_daily_tz": f"""WITH {_LOG} SELECT bucket, CAST(timezone('America/Los_Angeles', timezone('UTC', requested_at)) AS DATE) AS day, sum(cost)::BIGINT AS used, count(*) AS requests FROM used GROUP BY ALL""",
     "rate_earliest_free": f"""WITH {_LOG}, u AS (SELECT s.bucket, s.window_sec, s.max_cost, coalesce(sum(cost), 0) AS used, min(requested_at) AS oldest FROM specs s LEFT JOIN used u ON u.bucket = s.bucket

@@ -27,10 +27,14 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_at_once: int
     return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
-def drained(stream: DataFrame, *, mode: str = "append") -> DataFrame:
-    """All a stream has at the moment, run to its end in micro-batches, as a table in the shared folder."""
+def drained(stream: DataFrame, *, mode: str = "append", at: str | None = None) -> DataFrame:
+    """All a stream has at the moment, run to its end in micro-batches, as a table in the shared folder.
+
+    With ``at``, a folder of an earlier run, the stream goes on from that run's
+    checkpoint, and the table holds what both have written.
+    """
     spark = stream.sparkSession
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = at or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
     writer.format("parquet").start(f"{at}/table").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/table")
