@@ -81,12 +81,6 @@ def heading_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("video_id", F.explode(C.headings(F.col("line"))).alias("h")).select("video_id", "h.offset", "h.level", "h.title")
 
 
-def _seconds(spark: SparkSession, folder: str) -> DataFrame:
-    """Transcripts in the plain notation of seconds."""
-    rows = table(spark, folder, "transcripts").filter(F.col("transcript_chunk").rlike(r"^\d+: ")).select("video_id", "chunk_id", "transcript_chunk")
-    return latest_row(rows, ["video_id", "chunk_id"], [F.col("transcript_chunk").desc()])
-
-
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     """Transcripts of every notation, as lines of seconds."""
     rows = table(spark, folder, "transcripts").filter(F.col("transcript_chunk").isNotNull()).select("video_id", "chunk_id", "transcript_chunk")
@@ -95,11 +89,6 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_merge_trim(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks in the notation of seconds without what the next one repeats."""
-    return C.trimmed_chunks(_seconds(spark, folder), "video_id", "chunk_id", "transcript_chunk")
-
-
-def chunk_merge_trim_all(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of every notation without what the next one repeats."""
     return C.trimmed_chunks(_lines(spark, folder), "video_id", "chunk_id", "transcript_chunk")
 
@@ -118,11 +107,6 @@ def _interleaved(spark: SparkSession, folder: str, chunks: DataFrame) -> DataFra
 
 
 def interleave_headings(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of transcripts in the notation of seconds, and headings, in order of time."""
-    return _interleaved(spark, folder, _seconds(spark, folder))
-
-
-def interleave_headings_all(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of transcripts of every notation, and headings, in order of time."""
     return _interleaved(spark, folder, _lines(spark, folder))
 
@@ -132,11 +116,6 @@ def _tails(chunks: DataFrame) -> DataFrame:
 
 
 def last_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    """The last two paragraphs of each chunk in the notation of seconds, which introduce the next."""
-    return _tails(_seconds(spark, folder))
-
-
-def last_paragraphs_all(spark: SparkSession, folder: str) -> DataFrame:
     """The last two paragraphs of each chunk of every notation."""
     return _tails(_lines(spark, folder))
 
@@ -147,7 +126,7 @@ def best_transcript(spark: SparkSession, folder: str) -> DataFrame:
     return C.best_transcript(rows, "video_id")
 
 
-QUERIES = {f.__name__: f for f in (chapter_parse, chapter_rewrite, chapter_intervals, timestamp_chapter_asof, chapter_band_candidates, chapter_greedy_merge, heading_lines, chunk_merge_trim, chunk_merge_trim_all, chunk_windows, interleave_headings, interleave_headings_all, last_paragraphs, last_paragraphs_all, best_transcript)}
+QUERIES = {f.__name__: f for f in (chapter_parse, chapter_rewrite, chapter_intervals, timestamp_chapter_asof, chapter_band_candidates, chapter_greedy_merge, heading_lines, chunk_merge_trim, chunk_windows, interleave_headings, last_paragraphs, best_transcript)}
 
 _S = SPACE
 _MK = r"(?m)^[^\p{L}\p{N}_]*((?:\d{1,2}:)?\d{1,2}:\d{2})[^\p{L}\p{N}_]*(.*?)$"
@@ -160,7 +139,24 @@ c1 AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY video_id, "offset
 iv AS (SELECT video_id, "offset", (row_number() OVER w - 1)::INTEGER AS chapter_no, lead("offset") OVER w AS next_start FROM c1 WINDOW w AS (PARTITION BY video_id ORDER BY "offset"))"""
 _FOUND = """fd0 AS (SELECT *, (length(title) * 31 + i * 17) % 83 AS h FROM c),
 fd AS (SELECT video_id, ("offset" + h - 20)::INTEGER AS "offset", (h % 3 + 2)::INTEGER AS level, upper(title) AS title FROM fd0 WHERE "offset" + h - 20 >= 0)"""
-_CHUNKS = rf"""k AS (SELECT video_id, chunk_id, max(transcript_chunk) AS t FROM transcripts WHERE regexp_matches(transcript_chunk, '^\d+: ') GROUP BY ALL)"""
+_CL = r"(?:\d+:)?\d{1,3}:\d{2}(?:[.,]\d+)?"
+_FORMS = (rf"^\s*({_CL})\s*\|\s?(.*)$", rf"^\s*\[({_CL})\]\s?(.*)$", r"^\s*\((\d+(?:\.\d+)?)\s?s\)\s?(.*)$", r"^\s*(\d+(?:\.\d+)?):(?:\s(.*))?$", rf"^\s*({_CL})(?:\s(.*))?$", rf"^({_CL})\s*-->\s*{_CL}(.*)$")
+_MARK = lambda n: "CASE form " + " ".join(f"WHEN {k} THEN regexp_extract(line, '{f}', {n})" for k, f in enumerate(_FORMS)) + " END"
+# Chunks of any notation as lines 'second: text', as operators.captions has them.
+_CHUNKS = rf"""k0 AS (SELECT video_id, chunk_id, max(transcript_chunk) AS t FROM transcripts WHERE transcript_chunk IS NOT NULL GROUP BY ALL),
+k1 AS (SELECT video_id, chunk_id, generate_subscripts(string_split(t, chr(10)), 1) AS n, unnest(string_split(t, chr(10))) AS line FROM k0 WHERE t <> '' AND NOT regexp_matches(t, '^\d+: ')),
+k2 AS (SELECT video_id, chunk_id, {", ".join(f"count(*) FILTER (regexp_matches(line, '{f}')) AS f{k}" for k, f in enumerate(_FORMS))} FROM k1 GROUP BY ALL),
+k3 AS (SELECT video_id, chunk_id, CASE WHEN f5 > 0 THEN 5 {" ".join(f"WHEN f{k} = greatest(f0, f1, f2, f3, f4) THEN {k}" for k in range(5))} END AS form FROM k2),
+k4 AS (SELECT k1.*, form, CASE form {" ".join(f"WHEN {k} THEN regexp_matches(line, '{f}')" for k, f in enumerate(_FORMS))} END AS hit FROM k1 JOIN k3 USING (video_id, chunk_id)),
+k5 AS (SELECT *, CASE WHEN hit THEN round(1000 * list_reduce(list_transform(string_split(replace({_MARK(1)}, ',', '.'), ':'), lambda x: CAST(x AS DOUBLE)), lambda a, b: a * 60 + b)) END AS ms,
+  lead(hit) OVER (PARTITION BY video_id, chunk_id ORDER BY n) AS next_hit FROM k4),
+k6 AS (SELECT video_id, chunk_id, n, form = 4 AND abs(ms - p) > 60000 AND abs(ms - q) > 60000 AND abs(p - q) <= 60000 AS odd FROM (SELECT *, lag(ms) OVER w AS p, lead(ms) OVER w AS q FROM k5 WHERE hit WINDOW w AS (PARTITION BY video_id, chunk_id ORDER BY n))),
+k7 AS (SELECT k5.*, hit AND NOT coalesce(odd, false) AS mark FROM k5 LEFT JOIN k6 USING (video_id, chunk_id, n)),
+k8 AS (SELECT *, count(*) FILTER (mark) OVER (PARTITION BY video_id, chunk_id ORDER BY n) AS cap FROM k7),
+k9 AS (SELECT video_id, chunk_id, cap, min(ms) FILTER (mark) AS ms, trim(regexp_replace(coalesce(string_agg(CASE WHEN mark AND form < 5 THEN {_MARK(2)} ELSE line END, ' ' ORDER BY n)
+    FILTER (NOT (form = 5 AND (mark OR regexp_matches(trim(line), '^\d+$') AND coalesce(next_hit, false)))), ''), '[{_S}]+', ' ', 'g')) AS txt FROM k8 WHERE cap > 0 GROUP BY ALL),
+k10 AS (SELECT video_id, chunk_id, string_agg(floor(ms / 1000)::BIGINT || ': ' || txt, chr(10) ORDER BY cap) AS t FROM k9 GROUP BY ALL),
+k AS (SELECT video_id, chunk_id, coalesce(k10.t, k0.t) AS t FROM k0 LEFT JOIN k10 USING (video_id, chunk_id))"""
 NAMED_SQL = rf"""WITH {_ONE}, cm AS (SELECT comment_id, video_id, text_original FROM comments WHERE comment_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY comment_id ORDER BY last_seen DESC NULLS LAST) = 1),
 x AS (SELECT comment_id, video_id, list_filter(regexp_extract_all(text_original, '\b(?:\d{{1,2}}:)?\d{{1,2}}:\d{{2}}\b'), lambda t: CAST(right(t, 2) AS INTEGER) < 60) AS xs FROM cm),
 t AS (SELECT comment_id, video_id, generate_subscripts(xs, 1) - 1 AS place, unnest(xs) AS x FROM x),
