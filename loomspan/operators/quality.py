@@ -127,6 +127,23 @@ def thread_gaps(comments: DataFrame) -> DataFrame:
     return both.groupBy("video_id").agg(F.count(F.lit(1)).alias("threads"), F.count_if(gap).alias("threads_with_gaps"), total(F.col("total_reply_count")).alias("replies_reported"), total(F.col("total_reply_count") - F.col("present")).alias("replies_missing"))
 
 
+def _thread_facts(now: DataFrame) -> DataFrame:
+    """What the thread says of a comment, in one row each: reply_length, mentioned, relevance_points. Combined before the shuffle."""
+    mine = F.col("author_channel_id") == F.col("creator_id")
+    below = now.filter(F.col("parent_id").isNotNull()).groupBy("parent_id").agg(F.max(F.when(mine, F.col("text_length"))).alias("reply_length"), F.bool_or("mention").alias("mentioned"))
+    below = below.filter(F.col("reply_length").isNotNull() | F.col("mentioned")).withColumnRenamed("parent_id", "comment_id")
+    among = relevance(now).select("comment_id", F.col("points").alias("relevance_points"))
+    both = below.unionByName(among, allowMissingColumns=True)
+    return both.groupBy("comment_id").agg(F.max("reply_length").alias("reply_length"), F.max("mentioned").alias("mentioned"), F.max("relevance_points").alias("relevance_points"))
+
+
+def _author_facts(known: DataFrame, subscriptions: DataFrame, clock: str) -> DataFrame:
+    """What is known of an author, in one row each: followed, here (has a channel here), and the points of the channel's owner."""
+    points = author_points(known, clock).withColumnRenamed("channel_id", "a_id").withColumn("here", F.lit(True))
+    followed = subscriptions.select(F.col("channel_id").alias("a_id")).filter(F.col("a_id").isNotNull()).distinct().withColumn("followed", F.lit(True))
+    return points.join(followed, "a_id", "full")
+
+
 def _signals(t: Column) -> dict[str, Column]:
     """Points by signal of rows that have the thread's and the author's columns."""
     sentences, technical = X.sentence_count(t), F.col("technical")
@@ -167,11 +184,10 @@ def classify(comments: DataFrame, videos: DataFrame, channels: DataFrame, subscr
     now = materialize(current_comments(comments, with_text=False).join(owner, "video_id", "left"))
     known = current_channels(channels)
     scored = comments if only is None else comments.join(only.select("comment_id").distinct(), "comment_id", "left_semi")
-    rows = author_tier(current_comments(scored).join(owner, "video_id", "left"), subscriptions, known)
-    rows = rows.join(creator_replies(now).withColumnRenamed("parent_id", "r_id"), F.col("comment_id") == F.col("r_id"), "left")
-    rows = rows.join(mentioned_parents(now).select(F.col("parent_id").alias("m_id"), F.lit(True).alias("mentioned")), F.col("comment_id") == F.col("m_id"), "left")
-    rows = rows.join(relevance(now).select(F.col("comment_id").alias("v_id"), F.col("points").alias("relevance_points")), F.col("comment_id") == F.col("v_id"), "left")
-    rows = rows.join(author_points(known, clock).withColumnRenamed("channel_id", "a_id"), F.col("author_channel_id") == F.col("a_id"), "left")
+    rows = current_comments(scored).join(owner, "video_id", "left").join(_thread_facts(now), "comment_id", "left")
+    rows = rows.join(_author_facts(known, subscriptions, clock), F.col("author_channel_id") == F.col("a_id"), "left")
+    tier = F.when(F.col("author_channel_id") == F.col("creator_id"), "creator").when(F.col("followed"), "subscribed").when(F.col("here"), "known").otherwise("unknown")
+    rows = rows.withColumn("author_tier", tier)
     t = F.col("text")
     trusted = F.col("author_tier").isin("creator", "subscribed")
     gate = trusted | (F.length(t) >= GATE_LENGTH) | (F.length(t) >= ENTITY_LENGTH) & (F.size(X.entities(t)) > 0) | X.has_citation(t)

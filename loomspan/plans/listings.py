@@ -93,8 +93,8 @@ def thread_expansion(spark: SparkSession, folder: str) -> DataFrame:
 def ticket_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """The outcome of each ticket: the first that was recorded holds."""
     e = table(spark, folder, "events").select((F.col("event_id") % 4000).alias("ticket"), "ts", "event_id", F.when(F.col("event_type") == "error", "error:Remote").when(F.col("event_type") == "click", "ok").alias("outcome"))
-    w = Window.partitionBy("ticket").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return e.withColumn("first", F.first("outcome", ignorenulls=True).over(w)).select("ticket", F.coalesce("first", F.lit("in flight")).alias("outcome")).distinct()
+    first = F.min(F.when(F.col("outcome").isNotNull(), F.struct("ts", "event_id", "outcome")))["outcome"]
+    return e.groupBy("ticket").agg(F.coalesce(first, F.lit("in flight")).alias("outcome"))
 
 
 def creators_of_playlists(spark: SparkSession, folder: str) -> DataFrame:
