@@ -82,7 +82,10 @@ def model_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (thread_flatten, cache_misses, stream_usage, stream_uploads, stream_admission, media_pointers, timing_pivot, model_answers, model_chunks)}
 
+_CLEANED = r"length(trim(regexp_replace(regexp_replace(transcript_chunk, '\b(?:u+h+|u+m+|er+m*|hm+)\b[,.…]*\s?', '', 'gi'), '\s{2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)))::INTEGER"
 ORACLE = {
+    "model_answers": f"SELECT DISTINCT concat_ws('-', video_id, chunk_id) AS id, {_CLEANED} AS n FROM transcripts",
+    "model_chunks": f"WITH one AS (SELECT video_id, chunk_id, max(transcript_chunk) AS transcript_chunk FROM transcripts GROUP BY ALL) SELECT video_id, chunk_id, {_CLEANED} AS n FROM one",
     "stream_admission": admitted_sql({b: WINDOWS for b in BUCKETS}, "1"),
     "thread_flatten": """WITH r AS (SELECT DISTINCT comment_id, video_id, text_original, like_count, total_reply_count FROM comments WHERE comment_id IS NOT NULL AND text_original IS NOT NULL)
 SELECT video_id, 0 AS ordinal, comment_id, NULL::VARCHAR AS parent_id, like_count, total_reply_count FROM r UNION ALL SELECT video_id, 1, comment_id || '-r', comment_id, like_count, 0 FROM r""",

@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions import images as I
 from loomspan.functions import providers as M
 from loomspan.functions import text as X
 from loomspan.functions import values as V
 from loomspan.operators import blocks as B
 from loomspan.operators import quality as Q
 from loomspan.operators import state as S
+from loomspan.operators.media import significant_colors
 from loomspan.plans.comments import _CLASSIFIED, _NOW, CLOCK, _classified, _now, _subscriptions
 from loomspan.plans.descriptions import _BLOCKS, INDEXED_UNTIL
 from loomspan.plans.listings import unavailable_cache
@@ -151,6 +153,28 @@ def author_context(spark: SparkSession, folder: str) -> DataFrame:
     return now.join(c, now["author_channel_id"] == c["a_id"], "left").select("comment_id", "title", "thumbnail", "playlists")
 
 
+def _avatars(spark: SparkSession, folder: str) -> DataFrame:
+    """Channels with the colours of their avatar, drawn here as stripes, as no images are at hand; every ninth can't be read."""
+    c = Q.current_channels(table(spark, folder, "channels"))
+    drawn = [I.striped_png(k) for k in range(1, 6)]
+    n = F.coalesce(F.length("title"), F.lit(0))
+    image = F.when(n % 9 != 0, F.element_at(F.array(*(F.lit(bytearray(d)) for d in drawn)), (n % 5 + 1).cast("int"))).otherwise(F.lit(bytearray(b"broken")))
+    return c.withColumn("counts", I.colors_of(image)).withColumn("distinct_colors", significant_colors(F.col("counts")))
+
+
+def avatar_colors(spark: SparkSession, folder: str) -> DataFrame:
+    """How many colours of each avatar's palette cover more than a twentieth of it."""
+    return _avatars(spark, folder).select("channel_id", "distinct_colors")
+
+
+def avatar_points(spark: SparkSession, folder: str) -> DataFrame:
+    """The points of each channel's owner, with the mark of a default avatar: two colours at most, and nothing uploaded."""
+    rows = _avatars(spark, folder)
+    idle = F.length("title") % 2 == 0  # the table's channels are all active: half are taken for idle ones
+    rows = rows.withColumn("uploads_count", F.when(idle, "0").otherwise(F.col("uploads_count"))).withColumn("playlists_data", F.when(~F.coalesce(idle, F.lit(False)), F.col("playlists_data")))
+    return Q.author_points(rows, CLOCK).select("channel_id", "default_avatar", "active")
+
+
 def segment_seconds(spark: SparkSession, folder: str) -> DataFrame:
     """Times rounded to whole seconds, halves to the even one."""
     return table(spark, folder, "events").select("event_id", F.bround("value").cast("bigint").alias("second"))
@@ -184,7 +208,7 @@ def extraction_pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    stamped_meta, layout_migration, migration_outcomes, transcript_rows, uncleaned_chunks, refreshed_index, resumed_feeds, resumed_stream, stopped_batches, expanded_threads, rescored_threads, author_lines, author_context,
+    stamped_meta, layout_migration, migration_outcomes, transcript_rows, uncleaned_chunks, refreshed_index, resumed_feeds, resumed_stream, stopped_batches, expanded_threads, rescored_threads, author_lines, author_context, avatar_colors, avatar_points,
     segment_seconds, error_statuses, usage_report, timing_report, extraction_pipeline,
 )}
 
@@ -217,6 +241,9 @@ SELECT batch, CASE WHEN e IS NULL OR place <= e THEN outcome ELSE 'not tried' EN
   coalesce(TRY_CAST(CASE WHEN regexp_matches(regexp_replace(subscriber_count, '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g'), '^[+-]?[0-9]+$') THEN regexp_replace(subscriber_count, '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g') END AS BIGINT)::VARCHAR, '?') AS s FROM ch)
   SELECT comment_id, author_tier, CASE author_tier WHEN 'creator' THEN 'creator' WHEN 'subscribed' THEN 'subscribed: ' || coalesce(t, '?') WHEN 'known' THEN t || ' | ' || s || ' subscribers | ' || k || ' playlists' ELSE 'unknown' END AS line FROM tier LEFT JOIN f ON f.channel_id = author_channel_id""",
     "author_context": f"WITH {_NOW} SELECT comment_id, title, thumbnails['default'].url AS thumbnail, len(list_filter(map_values(playlists_data), lambda x: x <> '')) AS playlists FROM now LEFT JOIN ch ON ch.channel_id = author_channel_id",
+    "avatar_colors": f"WITH {_NOW} SELECT channel_id, CASE WHEN coalesce(length(title), 0) % 9 <> 0 THEN least(coalesce(length(title), 0) % 5 + 1, 4) END::INTEGER AS distinct_colors FROM ch",
+    "avatar_points": rf"""WITH {_NOW}, a AS (SELECT channel_id, coalesce(length(title) % 2 = 0, false) AS idle, coalesce(length(title), 0) AS n, coalesce(TRY_CAST(regexp_replace(uploads_count, '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g') AS BIGINT), 0) >= 1 OR coalesce(cardinality(playlists_data), 0) > 0 AS was FROM ch)
+  SELECT channel_id, CASE WHEN NOT (was AND NOT idle) AND n % 9 <> 0 AND n % 5 + 1 <= 2 THEN -5.0 ELSE 0.0 END::DOUBLE AS default_avatar, CASE WHEN was AND NOT idle THEN 2.0 ELSE 0.0 END::DOUBLE AS active FROM a""",
     "segment_seconds": "SELECT event_id, round_even(value, 0)::BIGINT AS second FROM events",
     "error_statuses": f"""WITH k AS (SELECT {_KINDS!r}[event_id % {len(_KINDS) + 1} + 1] AS kind FROM events) SELECT kind, CASE {" ".join(f"WHEN kind = '{k}' THEN '{s}'" for k, s in V.STATUSES.items())} ELSE 'error' END AS status, 'error:' || coalesce(kind, 'unknown') AS label, count(*) AS n FROM k GROUP BY ALL""",
     "usage_report": _USAGE,

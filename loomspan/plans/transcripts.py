@@ -163,6 +163,8 @@ t AS (SELECT comment_id, video_id, generate_subscripts(xs, 1) - 1 AS place, unne
 s AS (SELECT comment_id, video_id, place, {_SEC("x")} AS second FROM t)
 SELECT comment_id, place, second, chapter_no FROM s ASOF LEFT JOIN iv ON s.video_id = iv.video_id AND s.second >= iv."offset" """
 ORACLE = {
+    "chapter_rewrite": rf"""WITH {_ONE}, r AS (SELECT video_id, regexp_replace(description, '{_MK}', '[ts \1] \1 \2', 'g') AS t, list_distinct(regexp_extract_all(description, '{_MK}', 1)) AS ms FROM v WHERE description IS NOT NULL)
+SELECT video_id, rtrim(list_reduce(list_prepend(t, ms), lambda a, m: replace(a, '[ts ' || m || ']', '[ts ' || ({_SEC("m")})::VARCHAR || ']')), ' ') AS description FROM r""",
     "chapter_parse": f"WITH {_ONE} SELECT * FROM c",
     "chapter_intervals": f"WITH {_ONE} SELECT * FROM iv",
     "timestamp_chapter_asof": rf"""WITH {_ONE}, cm AS (SELECT comment_id, video_id, text_original FROM comments WHERE comment_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY comment_id ORDER BY last_seen DESC NULLS LAST) = 1),
