@@ -43,7 +43,16 @@ class Analyst:
         return "none"
 
 
-PROVIDERS: dict[str, Callable[[], Provider]] = {"offline": Cleaner, "analyst": Analyst}
+class Organizer:
+    """Puts chapters that found no heading into a table of contents by their time; a stand-in for a model."""
+
+    def ask(self, prompt: str, history: list[str]) -> str:
+        merged, _, unmatched = prompt.partition("\n---\n")[2].partition("\n===\n")
+        lines = [line for line in merged.split("\n") if line] + [f"{at} ## {title}" for at, _, title in (line.partition(" ") for line in unmatched.split("\n") if line)]
+        return "\n".join(sorted(lines, key=lambda line: int(re.match(r"\d*", line)[0] or 0)))
+
+
+PROVIDERS: dict[str, Callable[[], Provider]] = {"offline": Cleaner, "analyst": Analyst, "organizer": Organizer}
 
 
 class Profile(NamedTuple):
@@ -53,7 +62,7 @@ class Profile(NamedTuple):
     remember: int = 2
 
 
-PROFILES: dict[str, Profile] = {"default": Profile("offline"), "analyst": Profile("analyst", 7)}
+PROFILES: dict[str, Profile] = {"default": Profile("offline"), "analyst": Profile("analyst", 7), "headings": Profile("organizer")}
 
 
 def profile_of(name: str) -> Profile:

@@ -105,6 +105,22 @@ def merged_lists(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, "old", "new").mapInPandas(run, schema)
 
 
+def log_tail(df: DataFrame, order: Sequence[str], at: str, oldest: str, offset: int = 0) -> DataFrame:
+    """The rows of a log behind the newest one that is no later than ``oldest``; the newest ``offset`` rows aren't looked at for it.
+
+    If there is no such row all rows are given, and likewise if it is the last
+    row of the log, as the original has it. ``order``: the columns in which the log
+    grows; a few keys come to the driver, and no row is numbered.
+    """
+    key = F.struct(*order)
+    newest = [r["k"] for r in df.select(key.alias("k")).orderBy(F.col("k").desc()).limit(offset + 1).collect()]
+    if len(newest) <= offset:
+        return df
+    literal = lambda row: F.struct(*(F.lit(row[c]).cast(df.schema[c].dataType).alias(c) for c in order))
+    stop = df.filter((key <= literal(newest[offset])) & (F.col(at) <= F.lit(oldest).cast(df.schema[at].dataType))).agg(F.max(key).alias("k")).first()["k"]
+    return df if stop is None or stop == newest[0] else df.filter(key > literal(stop))
+
+
 def within_budget(df: DataFrame, group: Sequence[str], order: Sequence[str], works: str, budget: int) -> DataFrame:
     """Rows until so many have done work; rows that needed none are free."""
     past = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from loomspan.operators import changes as C
 from loomspan.operators.latest import latest_row
+from loomspan.session import batch_clock
 from loomspan.sources.tables import table
 
 SINCE = "2024-06-01 00:00:00"
@@ -85,7 +86,7 @@ def _last_two(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def removed_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Playlists that were stored and aren't seen any more, with the time of removal."""
     old, new = _last_two(spark, folder)
-    return C.removed(old.select("playlist_id", "channel_id"), new, "playlist_id", CLOCK)
+    return C.removed(old.select("playlist_id", "channel_id"), new, "playlist_id", batch_clock(spark, CLOCK))
 
 
 def playlist_refresh(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,11 +142,10 @@ def undone_ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rating_log_tail(spark: SparkSession, folder: str) -> DataFrame:
-    """The tail of a log from its end back to a time, the newest five skipped."""
+    """The tail of a log behind a time, found past the newest five rows; and a log whose last row is old enough, which is given whole."""
     e = table(spark, folder, "events").select("event_id", "ts")
-    recent = e.filter(F.col("ts") > F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
-    newest = recent.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(5).select("event_id")
-    return recent.join(newest, "event_id", "left_anti")
+    tail = C.log_tail(e, ["ts", "event_id"], "ts", "2024-01-30 00:00:00", 5).withColumn("run", F.lit("tail"))
+    return tail.unionByName(C.log_tail(e, ["ts", "event_id"], "ts", "2030-01-01 00:00:00").withColumn("run", F.lit("whole")))
 
 
 def stale_outputs(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,7 +171,7 @@ def sync_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """What a sync of each channel does at the batch clock: nothing within a day, a full mirror if none was made, else the recent uploads."""
     now = latest_row(table(spark, folder, "channels").filter(F.col("channel_id").isNotNull()).select("channel_id", "last_updated", "uploads_count"), ["channel_id"], [F.col(c).desc_nulls_last() for c in ("last_updated", "uploads_count")])
     mirrored = _uploads(spark, folder).select("channel_id").distinct().withColumn("m", F.lit(True))
-    fresh = F.col("last_updated") >= F.expr(f"TIMESTAMP_NTZ'{CLOCK}' - INTERVAL 1 DAY")
+    fresh = F.col("last_updated") >= F.expr(f"TIMESTAMP_NTZ'{batch_clock(spark, CLOCK)}' - INTERVAL 1 DAY")
     return now.join(mirrored, "channel_id", "left").select("channel_id", F.when(fresh, "fresh").when(F.col("m").isNull(), "full").otherwise("recent").alias("decision"))
 
 
@@ -227,7 +227,8 @@ SELECT channel_id, count(*) AS n, max(published_at) AS watermark FROM up LEFT JO
     "undone_ratings": """WITH e AS (SELECT *, event_id * 31 % 7919 AS rated_id FROM events)
   SELECT DISTINCT rated_id FROM e WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-20' AND rated_id NOT IN (SELECT rated_id FROM e WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-20')
   AND rated_id IN (SELECT rated_id FROM e WHERE event_type <> 'purchase')""",
-    "rating_log_tail": "SELECT event_id, ts FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n > 5 AND ts > TIMESTAMP '2024-01-30'",
+    "rating_log_tail": """WITH n AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS i FROM events), s AS (SELECT min(i) AS i FROM n WHERE i > 5 AND ts <= TIMESTAMP '2024-01-30 00:00:00')
+  SELECT event_id, ts, 'tail' AS run FROM n WHERE i < (SELECT i FROM s) UNION ALL SELECT event_id, ts, 'whole' FROM events""",
     "stale_outputs": """WITH n AS (SELECT video_id, max(last_updated) AS last_updated FROM videos WHERE video_id IS NOT NULL GROUP BY 1), m AS (SELECT DISTINCT video_id, last_updated FROM videos WHERE ascii(right(video_id, 1)) % 3 <> 0)
 SELECT video_id FROM n ANTI JOIN m USING (video_id, last_updated)""",
     "work_budget": """WITH e AS (SELECT user_id, event_id, event_type = 'click' AS did_work, coalesce(sum((event_type = 'click')::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM events)

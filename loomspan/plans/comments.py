@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from loomspan.functions import text as X
 from loomspan.operators import quality as Q
 from loomspan.plans import texts
+from loomspan.session import batch_clock
 from loomspan.sources.tables import table
 
 CLOCK = "2025-03-15 12:00:00"
@@ -24,7 +25,7 @@ def _now(spark: SparkSession, folder: str, with_text: bool = False) -> DataFrame
 
 
 def _classified(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.classify(table(spark, folder, "comments"), table(spark, folder, "videos"), table(spark, folder, "channels"), _subscriptions(spark, folder), clock=CLOCK)
+    return Q.classify(table(spark, folder, "comments"), table(spark, folder, "videos"), table(spark, folder, "channels"), _subscriptions(spark, folder), clock=batch_clock(spark, CLOCK))
 
 
 def comment_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +70,7 @@ def author_tiers(spark: SparkSession, folder: str) -> DataFrame:
 
 def author_points(spark: SparkSession, folder: str) -> DataFrame:
     """The points of each channel's owner."""
-    return Q.author_points(Q.current_channels(table(spark, folder, "channels")), CLOCK)
+    return Q.author_points(Q.current_channels(table(spark, folder, "channels")), batch_clock(spark, CLOCK))
 
 
 def relevance_points(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,7 @@ from loomspan.operators.quality import current_channels, current_comments, owner
 from loomspan.plans.comments import CLOCK
 from loomspan.plans.transcripts import NAMED_SQL as CHAPTERS_NAMED
 from loomspan.plans.transcripts import named_chapters
+from loomspan.session import batch_clock
 from loomspan.sources.tables import table
 
 
@@ -46,7 +47,7 @@ def chapter_indices(spark: SparkSession, folder: str) -> DataFrame:
 def author_summary(spark: SparkSession, folder: str) -> DataFrame:
     """A line about each author who has a channel here."""
     c = current_channels(table(spark, folder, "channels"))
-    days = F.floor(F.expr(f"timestampdiff(SECOND, published_at, TIMESTAMP_NTZ'{CLOCK}')") / 86400)
+    days = F.floor(F.expr(f"timestampdiff(SECOND, published_at, TIMESTAMP_NTZ'{batch_clock(spark, CLOCK)}')") / 86400)
     line = F.concat_ws(" | ", X.strip(F.coalesce("title", F.lit("?"))), F.concat(F.coalesce(V.to_int(F.col("subscriber_count")).cast("string"), F.lit("?")), F.lit(" subscribers")), V.age_label(days))
     authors = current_comments(table(spark, folder, "comments"), with_text=False).select("author_channel_id").filter("author_channel_id IS NOT NULL").distinct()
     return authors.join(c, authors["author_channel_id"] == c["channel_id"]).select("channel_id", line.alias("summary"))

@@ -16,7 +16,7 @@ from loomspan.operators import media as M
 from loomspan.operators.latest import latest_row
 from loomspan.operators.quality import current_channels
 from loomspan.plans.archives import CLOCK
-from loomspan.session import shared_folder
+from loomspan.session import batch_clock, shared_folder
 from loomspan.sources import mirror as S
 from loomspan.sources.tables import table
 
@@ -203,7 +203,7 @@ def archived_entities(spark: SparkSession, folder: str) -> DataFrame:
     at = _work(spark)
     stored = current_channels(table(spark, folder, "channels")).select("channel_id", "title")
     kept = table(spark, folder, "playlists").select("channel_id").filter("channel_id IS NOT NULL").distinct()
-    gone = stored.join(kept, "channel_id", "left_anti").withColumn("removed_at", F.lit(CLOCK).cast("timestamp_ntz"))
+    gone = stored.join(kept, "channel_id", "left_anti").withColumn("removed_at", F.lit(batch_clock(spark, CLOCK)).cast("timestamp_ntz"))
     S.archive_removed(stored, gone, "channel_id", f"{at}/active", f"{at}/archive")
     active = spark.read.schema(stored.schema).parquet(f"{at}/active").withColumn("removed_at", F.lit(None).cast("timestamp_ntz"))
     return active.unionByName(spark.read.schema(gone.schema).parquet(f"{at}/archive"))

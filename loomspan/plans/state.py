@@ -19,7 +19,7 @@ from loomspan.plans.comments import _CLASSIFIED, _NOW, CLOCK, _classified, _now,
 from loomspan.plans.descriptions import _BLOCKS, INDEXED_UNTIL
 from loomspan.plans.listings import unavailable_cache
 from loomspan.plans.mirror import _V, PAGE, _playlists, _videos
-from loomspan.session import shared_folder
+from loomspan.session import batch_clock, shared_folder
 from loomspan.sources.tables import table
 from loomspan.streaming import flows as W
 
@@ -126,7 +126,7 @@ def rescored_threads(spark: SparkSession, folder: str) -> DataFrame:
     chosen = Q.to_expand(_classified(spark, folder)).select(F.col("comment_id").alias("thread_id"))
     now = _now(spark, folder).withColumn("thread_id", F.coalesce("parent_id", "comment_id"))
     only = now.join(chosen, "thread_id", "left_semi").select("comment_id")
-    rows = Q.classify(table(spark, folder, "comments"), table(spark, folder, "videos"), table(spark, folder, "channels"), _subscriptions(spark, folder), clock=CLOCK, only=only)
+    rows = Q.classify(table(spark, folder, "comments"), table(spark, folder, "videos"), table(spark, folder, "channels"), _subscriptions(spark, folder), clock=batch_clock(spark, CLOCK), only=only)
     return rows.select("comment_id", "quality_class", "score")
 
 
@@ -172,7 +172,7 @@ def avatar_points(spark: SparkSession, folder: str) -> DataFrame:
     rows = _avatars(spark, folder)
     idle = F.length("title") % 2 == 0  # the table's channels are all active: half are taken for idle ones
     rows = rows.withColumn("uploads_count", F.when(idle, "0").otherwise(F.col("uploads_count"))).withColumn("playlists_data", F.when(~F.coalesce(idle, F.lit(False)), F.col("playlists_data")))
-    return Q.author_points(rows, CLOCK).select("channel_id", "default_avatar", "active")
+    return Q.author_points(rows, batch_clock(spark, CLOCK)).select("channel_id", "default_avatar", "active")
 
 
 def segment_seconds(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from loomspan.functions import text as X
 from loomspan.functions import values as V
 from loomspan.operators.latest import latest_row
+from loomspan.session import batch_clock
 from loomspan.sources.tables import table
 
 # Units of the data interface's quota that a call costs.
@@ -100,7 +101,7 @@ def topic_categories(spark: SparkSession, folder: str) -> DataFrame:
 def age_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Ages of channels at the batch clock, and spans as labels."""
     rows = table(spark, folder, "channels").filter(F.col("published_at").isNotNull()).select("channel_id", "published_at").distinct()
-    seconds = F.expr("timestampdiff(SECOND, published_at, TIMESTAMP_NTZ'2025-03-15 12:00:00')")
+    seconds = F.expr(f"timestampdiff(SECOND, published_at, TIMESTAMP_NTZ'{batch_clock(spark, '2025-03-15 12:00:00')}')")
     days = F.floor(seconds / 86400)
     return rows.select("channel_id", "published_at", V.age_label(days).alias("age"), V.span_label(seconds).alias("span"))
 

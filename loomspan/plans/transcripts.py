@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from loomspan.functions.providers import asked, profile_of
 from loomspan.functions.text import SPACE, timestamps
 from loomspan.functions.values import duration_seconds
 from loomspan.operators import chapters as C
@@ -64,15 +66,40 @@ def chapter_band_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return C.near_pairs(_chapters(spark, folder), _found(spark, folder), "video_id")
 
 
-def chapter_greedy_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """Headings with the titles of the chapters near them."""
+def _merged(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings and unmatched chapters of each video, as arrays."""
     pack = lambda df, *c: df.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(*c))).alias("a"))
     manual, found = pack(_chapters(spark, folder), "offset", "title"), pack(_found(spark, folder), "offset", "level", "title")
     rows = _videos(spark, folder).select("video_id", duration_seconds(F.col("duration_data")).alias("duration"))
     both = rows.join(manual.withColumnRenamed("a", "manual"), "video_id").join(found.withColumnRenamed("a", "found"), "video_id", "left")
-    out = C.merged_headings(both, "video_id")
-    text = F.transform("headings", lambda h: C.heading_line(h["offset"], h["level"], h["title"]))
-    return out.select("video_id", F.array_join(text, "\n").alias("headings"), F.size("unmatched").alias("unmatched"))
+    return C.merged_headings(both, "video_id")
+
+
+def _heading_text() -> Column:
+    return F.transform("headings", lambda h: C.heading_line(h["offset"], h["level"], h["title"]))
+
+
+def chapter_greedy_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings with the titles of the chapters near them."""
+    return _merged(spark, folder).select("video_id", F.array_join(_heading_text(), "\n").alias("headings"), F.size("unmatched").alias("unmatched"))
+
+
+def reconciled_chapters(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings after a model has put in the chapters that found none near them."""
+    merged = _merged(spark, folder)
+    left = F.array_join(F.transform("unmatched", lambda c: F.concat_ws(" ", c["offset"].cast("string"), c["title"])), "\n")
+    prompt = F.concat(F.lit("Table of contents.\n---\n"), F.array_join(_heading_text(), "\n"), F.lit("\n===\n"), left)
+    answers = asked(merged.filter(F.size("unmatched") > 0).select("video_id", prompt.alias("prompt")), "video_id", "prompt", provider=profile_of("headings").provider)
+    return answers.select("video_id", F.posexplode(C.headings(F.col("answer"))).alias("place", "h")).select("video_id", "place", "h.offset", "h.level", "h.title")
+
+
+def chunk_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompt for each chunk: what the chunk before ends with, then the chunk (its length stands for it here)."""
+    chunks = _lines(spark, folder).filter("video_id IS NOT NULL")
+    tail = F.array_join(C.last_paragraphs(F.col("transcript_chunk")), "\n")
+    before = F.lag(tail).over(Window.partitionBy("video_id").orderBy("chunk_id"))
+    prompt = F.format_string("Goes on after:\n%s\n---\n%s", F.coalesce(before, F.lit("(nothing)")), F.length("transcript_chunk"))
+    return chunks.select("video_id", "chunk_id", prompt.alias("prompt"))
 
 
 def heading_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +153,7 @@ def best_transcript(spark: SparkSession, folder: str) -> DataFrame:
     return C.best_transcript(rows, "video_id")
 
 
-QUERIES = {f.__name__: f for f in (chapter_parse, chapter_rewrite, chapter_intervals, timestamp_chapter_asof, chapter_band_candidates, chapter_greedy_merge, heading_lines, chunk_merge_trim, chunk_windows, interleave_headings, last_paragraphs, best_transcript)}
+QUERIES = {f.__name__: f for f in (chapter_parse, chapter_rewrite, chapter_intervals, timestamp_chapter_asof, chapter_band_candidates, chapter_greedy_merge, reconciled_chapters, chunk_prompts, heading_lines, chunk_merge_trim, chunk_windows, interleave_headings, last_paragraphs, best_transcript)}
 
 _S = SPACE
 _MK = r"(?m)^[^\p{L}\p{N}_]*((?:\d{1,2}:)?\d{1,2}:\d{2})[^\p{L}\p{N}_]*(.*?)$"
@@ -170,6 +197,8 @@ SELECT video_id, rtrim(list_reduce(list_prepend(t, ms), lambda a, m: replace(a,
     "timestamp_chapter_asof": rf"""WITH {_ONE}, cm AS (SELECT comment_id, video_id, text_original FROM comments WHERE comment_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY comment_id ORDER BY last_seen DESC NULLS LAST) = 1),
 t AS (SELECT DISTINCT comment_id, video_id, {_SEC("x")} AS second FROM (SELECT comment_id, video_id, unnest(list_filter(regexp_extract_all(text_original, '\b(?:\d{{1,2}}:)?\d{{1,2}}:\d{{2}}\b'), lambda t: CAST(right(t, 2) AS INTEGER) < 60)) AS x FROM cm))
 SELECT comment_id, second, chapter_no FROM t ASOF LEFT JOIN iv ON t.video_id = iv.video_id AND t.second >= iv."offset" """,
+    "chunk_prompts": rf"""WITH {_CHUNKS}, l AS (SELECT video_id, chunk_id, t, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^\d+:\s')) AS ls FROM k)
+SELECT video_id, chunk_id, 'Goes on after:' || chr(10) || coalesce(lag(array_to_string(ls[-2:], chr(10))) OVER (PARTITION BY video_id ORDER BY chunk_id), '(nothing)') || chr(10) || '---' || chr(10) || length(t) AS prompt FROM l WHERE video_id IS NOT NULL""",
     "last_paragraphs": rf"""WITH {_CHUNKS}, l AS (SELECT video_id, chunk_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^\d+:\s')) AS ls FROM k) SELECT video_id, chunk_id, array_to_string(ls[-2:], chr(10)) AS tail FROM l""",
     "chunk_windows": """WITH w AS (SELECT doc_id, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos, unnest(string_split(text, ' ')) AS word FROM documents WHERE text IS NOT NULL),
 n AS (SELECT doc_id, max(pos) + 1 AS n FROM w GROUP BY 1), c AS (SELECT doc_id, n, unnest(range(0, CAST(ceil(n / 370.0) AS BIGINT))) AS chunk_no FROM n)

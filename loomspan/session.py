@@ -27,6 +27,11 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+def batch_clock(spark: SparkSession, default: str) -> str:
+    """The one time that counts as now for a whole run: the setting loomspan.batch.time, or ``default``."""
+    return spark.conf.get("loomspan.batch.time", default)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 

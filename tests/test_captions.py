@@ -18,7 +18,7 @@ def test_text_without_marks_stays():
     assert in_seconds("no marks") == "no marks" and in_seconds("") == "" and in_seconds(None) is None
 
 
-@pytest.mark.parametrize("name", ["chunk_merge_trim_all", "last_paragraphs_all"])
+@pytest.mark.parametrize("name", ["chunk_merge_trim", "last_paragraphs"])
 def test_all_chunks_are_read(spark, name):
     rows = spark.read.parquet(f"{SF}/transcripts.parquet").filter("transcript_chunk IS NOT NULL").select("video_id", "chunk_id").distinct()
     assert sorted(map(repr, QUERIES[name](spark, SF).select("video_id", "chunk_id").collect())) == sorted(map(repr, rows.collect()))
@@ -26,7 +26,7 @@ def test_all_chunks_are_read(spark, name):
 
 def test_all_videos_are_interleaved(spark):
     rows = spark.read.parquet(f"{SF}/transcripts.parquet").filter("transcript_chunk != ''").select("video_id").distinct()
-    assert {r.video_id for r in rows.collect()} <= {r.video_id for r in QUERIES["interleave_headings_all"](spark, SF).filter("is_text = 1").select("video_id").distinct().collect()}
+    assert {r.video_id for r in rows.collect()} <= {r.video_id for r in QUERIES["interleave_headings"](spark, SF).filter("is_text = 1").select("video_id").distinct().collect()}
 
 
 def test_last_mark_after_a_pause_stays():

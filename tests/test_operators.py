@@ -197,3 +197,21 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def plain_tail(lines, oldest, offset):
+    for i, t in enumerate(list(reversed(lines))[offset:], start=offset):
+        if t <= oldest:
+            return lines[len(lines) - i :] if i else lines
+    return lines
+
+
+def test_log_tail_against_a_plain_loop(spark):
+    rnd = random.Random(2)
+    for _ in range(6):
+        times = sorted(rnd.randrange(20) for _ in range(rnd.choice([0, 1, 5, 12])))
+        df = spark.createDataFrame([(n, t) for n, t in enumerate(times)], "n int, t int")
+        for oldest in (-1, 7, 30):
+            for offset in (0, 2):
+                got = [r.t for r in C.log_tail(df, ["n"], "t", str(oldest), offset).orderBy("n").collect()]
+                assert got == plain_tail(times, oldest, offset)
