@@ -23,6 +23,7 @@ LIMITS: Mapping[str, Spec] = {
     "thumbnail": (((1, 5), (60, 60), (3600, 1000), (86400, 10000)), None),
 }
 DAY_US = 86_400_000_000
+MINUTE_US = 60_000_000
 
 
 class UnknownBucket(ValueError):
@@ -45,16 +46,26 @@ def counted(outcome: Column) -> Column:
 
 
 def window_usage(log: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """``log`` with used_N for each window of N seconds (a day at most): the cost of the bucket's requests from N seconds before on, inclusive.
+    """``log`` with used_N for each window of N seconds: the cost of the bucket's requests from N seconds before on, inclusive.
 
-    A bucket's requests are worked day by day, each day with the day before as
-    its halo, so a bucket with any number of requests is spread over its days.
+    Running sums at two points give a window's: at the request, and just before
+    the window begins. The points are summed up within minutes, and a table with
+    a row a minute gives each minute what came before it; so a bucket with any
+    number of requests is spread over its minutes, however long the windows are.
     """
-    rows = with_micros(log).withColumn("day", F.floor(F.col("us") / DAY_US)).withColumn("w", F.when(counted(F.col("outcome")), F.col("cost")).otherwise(0))
-    doubled = rows.withColumn("part", F.explode(F.array(F.col("day"), F.col("day") + 1)))
-    span = lambda n: Window.partitionBy("bucket", "part").orderBy("us").rangeBetween(-n * 1_000_000, 0)
-    used = doubled.select("*", *(F.sum("w").over(span(n)).alias(f"used_{n}") for n in windows))
-    return used.filter(F.col("part") == F.col("day")).drop("part", "day", "w", "us")
+    w = F.when(counted(F.col("outcome")), F.col("cost")).otherwise(0)
+    rows = with_micros(log).select(F.monotonically_increasing_id().alias("__row"), F.struct(*log.columns).alias("__log"), "bucket", "us", w.alias("w"))
+    point = lambda n, shift, cost: F.struct(F.lit(n).alias("n"), (F.col("us") - shift).alias("at"), cost.alias("w"))
+    points = F.array(point(0, 0, F.col("w")), *(point(n, n * 1_000_000 + 1, F.lit(0)) for n in windows))
+    rows = rows.select("__row", "__log", "bucket", F.explode(points).alias("p"))
+    rows = rows.select("__row", F.when(F.col("p.n") == 0, F.col("__log")).alias("__log"), "bucket", F.col("p.n").alias("n"), F.col("p.at").alias("at"), F.col("p.w").alias("w"), F.floor(F.col("p.at") / MINUTE_US).alias("minute"))
+    past = Window.partitionBy("bucket").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("bucket", "minute").agg(F.sum("w").alias("s")).select("bucket", "minute", F.coalesce(F.sum("s").over(past), F.lit(0)).alias("before"))
+    upto = Window.partitionBy("bucket", "minute").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("sum", F.sum("w").over(upto)).join(before, ["bucket", "minute"]).withColumn("sum", F.col("sum") + F.col("before"))
+    at = lambda n: F.max(F.when(F.col("n") == n, F.col("sum")))
+    each = summed.groupBy("__row").agg(F.max("__log").alias("__log"), *((at(0) - at(n)).alias(f"used_{n}") for n in windows))
+    return each.select("__log.*", *(f"used_{n}" for n in windows))
 
 
 def daily_usage(log: DataFrame, zone: str) -> DataFrame:
