@@ -109,23 +109,24 @@ def _pages(spark: SparkSession, folder: str) -> str:
     cut = rows.select("playlist_id", "items_etag", "items", F.explode(F.sequence(F.lit(0), count - 1)).alias("page"), count.alias("pages"))
     token = lambda n: F.when(n == 0, "first").otherwise(F.concat(F.lit("t"), n.cast("string")))
     page = F.to_json(F.struct(
+        F.col("playlist_id").alias("feed"), token(F.col("page")).alias("token"),
         F.concat_ws("-", F.coalesce("items_etag", F.lit("e")), "page").alias("etag"), F.when(F.col("page") + 1 < F.col("pages"), token(F.col("page") + 1)).alias("nextPageToken"),
         F.transform(F.slice("items", F.col("page").cast("int") * PAGE + 1, PAGE), lambda v: F.struct(v.alias("videoId"))).alias("items"),
     ))
     at = _work(spark)
-    cut.select(F.col("playlist_id").alias("feed"), token(F.col("page")).alias("token"), page.alias("value")).write.partitionBy("feed", "token").text(at)
+    cut.select(page.alias("value")).write.text(at)
     return at
 
 
 def page_items(spark: SparkSession, folder: str) -> DataFrame:
     """The items of all captured pages in the order of their tokens."""
-    return S.read_pages(spark, _pages(spark, folder)).select("feed", "page", "position", F.get_json_object("item", "$.videoId").alias("video_id"))
+    return S.read_pages(spark, _pages(spark, folder), lines=True).select("feed", "page", "position", F.get_json_object("item", "$.videoId").alias("video_id"))
 
 
 def changed_feeds(spark: SparkSession, folder: str) -> DataFrame:
     """Items of the feeds whose first tag isn't the one known already."""
     known = _playlists(spark, folder).filter("length(title) % 2 = 0").select(F.col("playlist_id").alias("feed"), F.concat(F.coalesce("items_etag", F.lit("e")), F.lit("-0")).alias("etag"))
-    return S.read_pages(spark, _pages(spark, folder), known=known).groupBy("feed").agg(F.count(F.lit(1)).alias("items"))
+    return S.read_pages(spark, _pages(spark, folder), known=known, lines=True).groupBy("feed").agg(F.count(F.lit(1)).alias("items"))
 
 
 def flattened_videos(spark: SparkSession, folder: str) -> DataFrame:

@@ -45,19 +45,23 @@ def _page_numbers(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"feed": pdf["feed"].iloc[0] if len(pdf) else None, "token": list(number), "page": list(number.values())})
 
 
-def read_pages(spark: SparkSession, path: str, etag: str | None = None, known: DataFrame | None = None) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, etag: str | None = None, known: DataFrame | None = None, *, lines: bool = False) -> DataFrame:
     """Items of captured pages of an interface: feed, page, position, item (JSON), etag.
 
     ``path`` holds <feed>/<token>.json, or feed=<feed>/token=<token>/ with a file,
-    on any file system Spark reads. Pages follow each other from 'first' on by
+    on any file system Spark reads; with ``lines`` files of a page a line, which
+    names its feed and token itself, so that many pages share a file. Pages follow each other from 'first' on by
     nextPageToken. A feed whose first page has the tag ``etag``, or the one that
     ``known`` (feed, etag) has for it, is unchanged and left out. The chain of a
     feed is worked from its tokens alone.
     """
-    raw = spark.read.schema(_PAGE).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    file = F.col("_metadata.file_path")
-    part = lambda n: F.nullif(F.regexp_extract(file, _PAGE_FILE, n), F.lit(""))
-    pages = raw.select(part(1).alias("feed"), F.coalesce(part(2), part(3)).alias("token"), F.col("nextPageToken").alias("next"), "etag", "items").filter("feed IS NOT NULL AND token IS NOT NULL")
+    if lines:
+        raw, feed, token = spark.read.schema(f"feed string, token string, {_PAGE}").json(path), F.col("feed"), F.col("token")
+    else:
+        raw = spark.read.schema(_PAGE).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+        part = lambda n: F.nullif(F.regexp_extract(F.col("_metadata.file_path"), _PAGE_FILE, n), F.lit(""))
+        feed, token = part(1), F.coalesce(part(2), part(3))
+    pages = raw.select(feed.alias("feed"), token.alias("token"), F.col("nextPageToken").alias("next"), "etag", "items").filter("feed IS NOT NULL AND token IS NOT NULL")
     first = pages.filter("token = 'first'").select("feed", "etag")
     if etag is not None:
         pages = pages.join(first.filter(F.col("etag") == etag).select("feed"), "feed", "left_anti")
