@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -338,38 +339,41 @@ def _governed(clauses: list[tuple[str, list[str]]]) -> tuple[list[int], list[int
     found = _MARKER.matches([*stream, EDGE])
     if not found:
         return None
-    level = [0] * starts[-1]
-
-    def block(a: int, b: int, to: int = 2) -> None:
-        for k in range(a, b):
-            level[k] = max(level[k], to)
-
+    ahead = starts[1:]  # by clause: the first word that a mark within it blocks
+    whole, fiction = [False] * len(clauses), [False] * len(clauses)
+    quoted_from = starts[-1]
     for at, patterns in found:
         edge = at >= len(stream) or stream[at] == EDGE
         end = place[at - 1] if edge else place[at]
-        n = next(k for k in range(len(clauses)) if end < starts[k + 1])
+        n = bisect_right(starts, end) - 1
+        while not clauses[n][1]:
+            n -= 1
         words = clauses[n][1]
         for kind in {_MARKERS[p][0] for p in patterns}:
             last = n + 1 == len(clauses)
             if kind in (_REPORT, _NEGATED):
-                block(end + 1, starts[n + 1])
+                ahead[n] = min(ahead[n], end + 1)
                 if kind == _REPORT and end + 1 == starts[n + 1] and not last:  # what is said follows: a quotation to the sentence's end, or a clause
-                    quoted = any(c in _QUOTES for c in clauses[n + 1][0])
-                    block(starts[n + 1], starts[-1] if quoted else starts[n + 2])
+                    whole[n + 1] = True
+                    if any(c in _QUOTES for c in clauses[n + 1][0]):
+                        quoted_from = min(quoted_from, starts[n + 1])
             elif kind == _SAID:
-                block(starts[n], starts[n + 1])
+                whole[n] = True
                 if n and len(words) <= 4:
-                    block(starts[n - 1], starts[n])
+                    whole[n - 1] = True
             elif kind == _FICTION:
-                block(starts[n], starts[n + 1], 1)
-                block(end, starts[n + 1])
+                fiction[n] = True
+                ahead[n] = min(ahead[n], end)
                 if words[0] in ("in", "on", "from", "at") and not last:
-                    block(starts[n + 1], starts[n + 2])
+                    whole[n + 1] = True
             else:
-                block(starts[n], starts[n + 1])
-                before = words[: end + 1 - starts[n]]
-                if n and ("now" in before or not _OF_A_REPLY.isdisjoint(before)):
-                    block(starts[n - 1], starts[n])
+                whole[n] = True
+                if n and ("now" in words[max(0, end - 2 - starts[n]) : end + 1 - starts[n]] or any(w in _OF_A_REPLY for w in words[max(0, end - 12 - starts[n]) : end + 1 - starts[n]])):
+                    whole[n - 1] = True
+    level = []
+    for n, (_, words) in enumerate(clauses):
+        for k in range(starts[n], starts[n + 1]):
+            level.append(2 if whole[n] or k >= ahead[n] or k >= quoted_from else 1 if fiction[n] else 0)
     return level, starts
 
 

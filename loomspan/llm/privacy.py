@@ -79,9 +79,9 @@ _INTRODUCED = re.compile(
     r"|(?P<am>I am|i am|I['’]m|i['’]m|soy|Soy|je suis|Je suis|ich bin|Ich bin|this is|This is)))[,:]?\s+(?=[^\W\d_])"
 )
 # A name at the beginning of a sentence, by what follows it; in parentheses; and as the last line.
-_OPENING = re.compile(r"(?:^|[.!?…\n])\s*(?=[^\W\d_])")
+_OPENING = re.compile(r"(?:^|[.!?…\n])\s{0,8}(?=[^\W\d_])")
 _SPEAKS = re.compile(r"\s(?:here\b[,.!]?|says\b|said\b|told\b|taught\b|from \w+ here|speaking\b|wrote\b|built\b|knows?\b|lives?\b|sold\b|owes?\b)", re.I)
-_ENCLOSED = re.compile(r"(?:\((?=[^\W\d_])|(?:^|\n|[.!?]\s)\s*[-–—~]\s?(?=[^\W\d_]))")
+_ENCLOSED = re.compile(r"(?:\((?=[^\W\d_])|(?:^|\n|[.!?]\s)\s{0,8}[-–—~]\s?(?=[^\W\d_]))")
 _FOLLOWED = re.compile(
     r"(?:[,)]|\s*(?:here|says|about it|has the|said|behind|last (?:year|week|month|summer)|for me|for us|not to you|y vivo|lives|built|knows|told|will|works|sold|from|in [A-Z]|IN|if|who|and (?:he|she|they)|gave|showed|taught|made|next door|at the|$))", re.I
 )
@@ -129,7 +129,7 @@ _ADDRESSES = (
     re.compile(rf"{_NUMBER},?\s+(?P<words>(?:[^\W\d_][\w'’.-]*\s+){{1,3}}){_STREET}\b\.?", re.I),
     re.compile(rf"{_NUMBER}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|bd|place|allée|allee|chemin|impasse|quai|route|cours|passage|square)\s+(?:(?:de la|de l['’]|du|des|de|d['’]|la|le|les)\s*)?[^\W\d_][\w'’-]*(?:\s+[A-Z][\w'’-]*)?", re.I),
     re.compile(r"\b(?:calle|c/|avenida|avda\.?|av\.|plaza|paseo|camino|carrera|via|viale|piazza|corso|rua|ulica|ul\.)\s+(?:[^\W\d_][\w'’.-]*\s+){1,4}?(?:,\s*)?(?:n[º°.o]\.?\s*)?\d{1,4}(?:\s?[a-h])?\b(?![:.]\d)", re.I),
-    re.compile(r"\b[^\W\d_][\w-]{2,}(?:straße|strasse|str\.|gasse|weg|platz|allee|damm|ufer|steig|chaussee|straat|laan|gatan|vägen|vej)\s+\d{1,4}(?:\s?[a-h])?\b(?![:.]\d)", re.I),
+    re.compile(r"\b[^\W\d_][\w-]{2,60}?(?:straße|strasse|str\.|gasse|weg|platz|allee|damm|ufer|steig|chaussee|straat|laan|gatan|vägen|vej)\s+\d{1,4}(?:\s?[a-h])?\b(?![:.]\d)", re.I),
     re.compile(r"\b(?:ул\.|улица|пр\.|проспект|пер\.)\s*[^\W\d_][\w -]*?,?\s*(?:д\.\s*)?\d{1,4}[а-я]?\b", re.I),
 )
 # Words for streets that are also words for other things: only a name in capitals after them makes an address.

@@ -88,3 +88,15 @@ def test_weights_from_labels(spark):
     assert score("you moron", low)[0] < ACCEPT <= score("you moron")[0]
     with pytest.raises(ValueError):
         fit_weights([("", 0, 0, 0)] * (MAX_LABELS + 1))
+
+
+@pytest.mark.parametrize("unit", ["he said ", "you moron, ", "not (", "in the movie ", "a-", "\n", "was removed "])
+def test_long_texts_take_time_in_proportion(unit):
+    import time
+
+    from loomspan.llm.privacy import find_spans
+
+    for work in (score, find_spans):
+        began = time.perf_counter()
+        work(unit * (60_000 // len(unit)) + "1")
+        assert time.perf_counter() - began < 10
